@@ -21,3 +21,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if memory:
         builder = builder.config("spark.driver.memory", memory)
     return builder.getOrCreate()
+
+
+def workers_import_from(spark: SparkSession, folder: str) -> None:
+    """Let Python workers that start from now on import modules in `folder`, as the driver does, wherever it was started."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if folder not in known.split(":"):
+        environment["PYTHONPATH"] = f"{folder}:{known}".rstrip(":")
