@@ -1,6 +1,7 @@
 """License scans by a positional index of rare licence words, in DataFrame expressions alone.
 
-Template words are ranked by their inverse document frequency over all documents. Each text looks up the postings of its highest
+Template words are ranked by their inverse document frequency over all documents; those far more frequent than their template's
+rarer words are not looked up. Each text looks up the postings of its highest
 ranked template words, intersects them by relative position (text position minus template position, the same for all words of one
 occurrence), and an occurrence counts when enough words agree and every mandatory key phrase stands at its place. The anchors of
 key phrases are always looked up. The three base phrases are templates of which the phrase is all: each place is found.
@@ -80,19 +81,29 @@ def _strings(values) -> str:
     return "array(" + ", ".join(f"'{v}'" for v in values) + ")" if values else "cast(array() as array<string>)"
 
 
-def ranked_words(docs: DataFrame) -> list[str]:
-    """Template words by falling inverse document frequency over all documents (at most as many rows as templates have words)."""
+def document_frequencies(docs: DataFrame) -> dict[str, int]:
+    """In how many documents each template word stands, over all documents (at most as many rows as templates have words)."""
     vocabulary = sorted({t["words"][i] for t in _templates() for i in t["marks"]})
     found = _words(docs).select(F.explode(F.array_intersect(F.expr(_strings(vocabulary)), "words")).alias("word"))
-    df = {r.word: r.n for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
+    counted = {r.word: r.n for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return {w: counted.get(w, 0) for w in vocabulary}
+
+
+def telling_words(template: dict, df: dict[str, int], spread: int = 20) -> list[int]:
+    """Positions of the words that are looked up: not those far more frequent than the template's rarer words are."""
+    counts = sorted(df[template["words"][i]] for i in template["marks"])
+    bound = spread * (counts[len(counts) // 4] + 5)
+    return [i for i in template["marks"] if df[template["words"][i]] <= bound]
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
     docs, spark = id_and_text(docs), docs.sparkSession
-    ranked, templates = ranked_words(docs), _templates()
-    rank = {w: i for i, w in enumerate(ranked)}
+    df, templates = document_frequencies(docs), _templates()
+    for template in templates:
+        template["marks"] = telling_words(template, df)
+    rank = {w: i for i, w in enumerate(sorted(df, key=lambda w: (df[w], w)))}
+    ranked = sorted({t["words"][i] for t in templates for i in t["marks"]}, key=rank.get)
     phrases = []  # (template, bit, phrase, anchor, position in the template)
     for t, template in enumerate(templates):
         for bit, (phrase, at) in enumerate(template["phrases"].items()):
