@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronry.scratch import persisted
+from heronry.scratch import discard, persisted
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     current = persisted(known.filter("a <> b").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        current = persisted(_small_star(_large_star(current)), "edges")
+        before, current = current, persisted(_small_star(_large_star(current)), "edges")
+        discard(before)
         row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if (row.n, row.s) == mark:
             break

@@ -25,8 +25,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/heronry/{name}-{uuid.uuid4().hex}"
 
 
+_PATHS: dict[int, str] = {}
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """df written once to shared storage and read back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what persisted() has written for this very frame; nothing that is still to run may read it."""
+    path, spark = _PATHS.pop(id(df), None), df.sparkSession
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
