@@ -8,45 +8,75 @@ control characters, special strings) goes to the library as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
-#: What the fast path leaves to the library: control and exotic space characters, soft hyphen, dotted capital I, all beyond
-#: Latin Extended-B, and the start of a special string (fixed values).
-SLOW = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\xadİɐ-\U0010ffff]|<\\|")
-
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: What the fast path leaves to the library: control and exotic space characters, soft hyphen, dotted capital I, everything
+#: beyond Latin Extended-B, and the start of a special string (fixed values, as UTF-8 bytes).
+ODD_BYTES = bytes([*range(9), *range(11, 32), 127, *range(0xCA, 256)])
+ODD_PAIRS = re.compile(b"\xc2[\x80-\xa0\xad]|\xc4\xb0")
+
+#: Letters, digits and marks as the tokenizer's splitting pattern has them, for the characters of the fast path (fixed values).
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+def is_plain(text: str) -> bool:
+    """Whether the fast path knows all characters of the text."""
+    data = text.encode()
+    if len(data.translate(None, ODD_BYTES)) != len(data) or "<|" in text:
+        return False
+    return len(data) == len(text) or not ODD_PAIRS.search(data)
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
 class ChunkCache(dict):
     """chunk -> its ids as little-endian uint32 bytes; misses are encoded and kept, up to `cap` chunks beside the shared table."""
 
-    def __init__(self, path: str, frequent: dict[str, bytes], cap: int = 200_000):
+    def __init__(self, path: str, frequent: dict[str, bytes], cap: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__(frequent)
         self.encoder, self.frequent, self.cap = Tokenizer.from_file(path), frequent, cap + len(frequent)
+        self.model = self.encoder.model
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.cap:
             self.clear()
             self.update(self.frequent)
-        self[chunk] = ids = self._encode(chunk)
+        pieces = [chunk] if chunk.isalpha() else PIECE.findall(chunk)
+        if len(pieces) > 1:
+            ids = b"".join(map(self.__getitem__, pieces))
+        else:
+            letters = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        if SLOW.search(text):
+        if not is_plain(text):
             return self._encode(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 
@@ -77,7 +107,7 @@ def frequent_chunks(docs: DataFrame, path: str, sample_rows: int = 1000, sample_
     rows = docs.filter(F.length("text") <= sample_chars).select("text").limit(sample_rows).collect()
     counts: Counter[str] = Counter()
     for row in rows:
-        if not SLOW.search(row.text):
+        if is_plain(row.text):
             counts.update(x for x in row.text.lower().split() if len(x) <= 40)
     cache = ChunkCache(path, {})
-    return spark.sparkContext.broadcast({chunk: cache._encode(chunk) for chunk, _ in counts.most_common(size)})
+    return spark.sparkContext.broadcast({chunk: cache[chunk] for chunk, _ in counts.most_common(size)})
