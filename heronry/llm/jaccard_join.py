@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from heronry.llm.common import id_and_text, mix64, table
 from heronry.llm.words import shingle_sets, slices
 from heronry.operators.graph import connected_components
-from heronry.scratch import persisted
+from heronry.scratch import discard, persisted
 
 WIDTH = 5
 PARITIES = 2048
 #: Repeats within one task from which a shingle counts as widespread, at least; and how many are kept. Both change speed alone.
 WIDESPREAD, MOST_WIDESPREAD = 16, 1_000_000
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 FILTER_BITS = 23
 
 
@@ -174,13 +174,15 @@ def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(judge, "a long, b long")
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs at distance 1/4 or less, by the exact intersection of their sets."""
+def _links(docs: DataFrame, pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs at distance 1/4 or less, by the exact intersection of their sets; the result is written to scratch."""
     pairs = persisted(pairs, "pairs")
-    slot = F.pmod(F.col("class"), F.lit(1 << FILTER_BITS)) + 1  # the bitmap functions number from 1
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    gate = np.zeros(1 << FILTER_BITS, bool)  # the driver holds one bit per slot, whatever the number of classes
+    # each class's set is read where its document with the smallest id is; the driver holds one bit per slot, whatever their number
+    sources = described.filter("n > 0").join(wanted, "class", "left_semi").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
+    slot = F.col("class").bitwiseXOR(F.col("doc_id")).bitwiseAND((1 << FILTER_BITS) - 1) + 1  # the bitmap functions number from 1
+    maps = sources.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    gate = np.zeros(1 << FILTER_BITS, bool)
     for row in maps.collect():
         bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
         gate[(row.part - 1) * len(bits) + np.flatnonzero(bits)] = True
@@ -189,15 +191,16 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def emit(batches):
         gate, seen = np.unpackbits(shared.value).astype(bool), set()
         for batch in batches:
-            for _, sizes, classes, owner, codes in _sets(batch):
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            for first, sizes, classes, owner, codes in _sets(batch):
                 stop = np.cumsum(sizes)
-                rows = [i for i in np.flatnonzero(gate[classes % (1 << FILTER_BITS)] & (sizes > 0)).tolist() if not (classes[i] in seen or seen.add(classes[i]))]
+                open_slot = gate[(classes ^ ids[first : first + len(sizes)]) & ((1 << FILTER_BITS) - 1)]
+                rows = [i for i in np.flatnonzero(open_slot & (sizes > 0)).tolist() if not (classes[i] in seen or seen.add(classes[i]))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(classes[rows]), pa.array([codes[stop[i] - sizes[i] : stop[i]].tobytes() for i in rows], pa.binary())], names=["class", "codes"])
 
-    sets = docs.mapInArrow(emit, "class long, codes binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = persisted(sets, "sets")
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b")
+    sets = persisted(docs.mapInArrow(emit, "class long, codes binary"), "sets")
+    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a")
 
     def judge(batches):
         for batch in batches:
@@ -208,7 +211,10 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(bool(100 * shared_size >= 75 * (len(x) + len(y) - shared_size)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    links = persisted(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long").distinct(), "links")
+    discard(sets)
+    discard(pairs)
+    return links
 
 
 def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,8 +230,7 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def grown(pairs: DataFrame):
         nonlocal edges, roots
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = persisted(_links(docs, _possible(pairs, described)), "links")
-        edges = edges.union(links)
+        edges = edges.union(_links(docs, _possible(pairs, described), described))
         roots = persisted(connected_components(edges), "roots")
 
     open_members = members
