@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import id_and_text, mix64, table
+from heronry.llm.common import arrow_rows, id_and_text, mix64, table
 from heronry.llm.words import shingle_sets, slices
 from heronry.operators.graph import connected_components
 from heronry.scratch import discard, persisted
@@ -211,7 +211,8 @@ def _links(docs: DataFrame, pairs: DataFrame, described: DataFrame) -> DataFrame
                 keep.append(bool(100 * shared_size >= 75 * (len(x) + len(y) - shared_size)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = persisted(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long").distinct(), "links")
+    with arrow_rows(docs.sparkSession, 200):  # a row holds two sets
+        links = persisted(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long").distinct(), "links")
     discard(sets)
     discard(pairs)
     return links
