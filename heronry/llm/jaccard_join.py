@@ -34,9 +34,11 @@ from heronry.scratch import discard, persisted
 
 WIDTH = 5
 PARITIES = 2048
-#: Repeats within one task from which a shingle counts as widespread, at least; and how many are kept. Both change speed alone.
-WIDESPREAD, MOST_WIDESPREAD = 16, 1_000_000
+#: How many shingles that repeat within a task are kept, by falling number of repeats; it changes speed alone.
+MOST_WIDESPREAD = 1_000_000
 PIVOT_ROUNDS = 1
+#: Members up to which a region's pairs are joined as rows; larger regions are compared in blocks of so many members.
+SMALL, BLOCK = 32, 2048
 FILTER_BITS = 23
 
 
@@ -88,11 +90,22 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, class long, parities binary, shingle long, repeats long")
 
 
-def _widespread(described: DataFrame) -> np.ndarray:
-    """The most repeated shingles, sorted: at most MOST_WIDESPREAD of them (8 MB)."""
-    counts = described.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("repeats").alias("n")).filter(F.col("n") >= WIDESPREAD)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(MOST_WIDESPREAD).select("shingle").toArrow()
-    return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64))
+def _widespread(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most repeated shingles, sorted, with the logarithm of their repeats: at most MOST_WIDESPREAD of them (9 MB)."""
+    counts = described.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("repeats").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(MOST_WIDESPREAD).select("shingle", F.ceil(2 * F.log2("n")).cast("byte").alias("level")).toArrow()
+    codes = top["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], top["level"].to_numpy().astype(np.int8)[order]
+
+
+def _levels(widespread: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """0 for shingles not known as widespread, more for more widespread ones."""
+    known, levels = widespread
+    if not len(known):
+        return np.zeros(len(codes), np.int8)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return np.where(known[at] == codes, levels[at], 0)
 
 
 def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -102,7 +115,7 @@ def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def regions(docs: DataFrame, widespread: np.ndarray, entries: int) -> DataFrame:
+def regions(docs: DataFrame, widespread: tuple[np.ndarray, np.ndarray], entries: int) -> DataFrame:
     """region, class, n: members of every first-level region with two members or more; regions of the same members once."""
     shared = docs.sparkSession.sparkContext.broadcast(widespread)
     bits = max(5, int(np.ceil(np.log2(max(1, entries / 500_000)))))
@@ -123,7 +136,7 @@ def regions(docs: DataFrame, widespread: np.ndarray, entries: int) -> DataFrame:
                 fresh = np.array([not (c in seen or seen.add(c)) for c in classes.tolist()], bool)
                 keep = fresh[owner]
                 owner, codes = owner[keep], codes[keep]
-                order = np.lexsort((codes, _within(shared.value, codes), owner))
+                order = np.lexsort((codes, _levels(shared.value, codes), owner))
                 owner, codes = owner[order], codes[order]
                 rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 first = rank < prefix_length(sizes)[owner]
@@ -174,6 +187,39 @@ def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(judge, "a long, b long")
 
 
+def _block_pairs(members: DataFrame, described: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one region and different components that sizes and parities allow, compared block by block.
+
+    A region's members are dealt into blocks of about BLOCK members, and each pair of blocks is one group of bounded size.
+    """
+    kinds = described.filter("shingle IS NULL").groupBy("class").agg(F.first("parities").alias("parities"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = members.join(kinds, "class").withColumn("block", F.pmod(F.hash("class"), blocks))
+    meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    rows = rows.select("region", "class", "root", "n", "parities", "block", F.explode(meet).alias("m")).select("*", "m.i", "m.j").drop("m")
+
+    def compare(group: pa.Table) -> pa.Table:
+        cls, root, n, block = (group.column(c).to_numpy() for c in ("class", "root", "n", "block"))
+        bits = np.frombuffer(b"".join(group.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        cross, found = group.column("i")[0].as_py() != group.column("j")[0].as_py(), []
+        for s in range(0, len(cls), 64):
+            part = slice(s, s + 64)
+            small, large = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
+            ok = (cls[part, None] < cls) & (root[part, None] != root) & (4 * small >= 3 * large)
+            if cross:
+                ok &= block[part, None] != block
+            i, j = np.nonzero(ok)
+            for t in range(0, len(i), 1 << 16):
+                u, v = i[t : t + (1 << 16)] + s, j[t : t + (1 << 16)]
+                least = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1).astype(np.int64)
+                near = 7 * least <= n[u] + n[v]
+                found.append((cls[u[near]], cls[v[near]]))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("region", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs at distance 1/4 or less, by the exact intersection of their sets; the result is written to scratch."""
     pairs = persisted(pairs, "pairs")
@@ -245,11 +291,12 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         open_members = persisted(named.join(heads, "region").filter("root <> head").drop("root", "head"), "open")
 
     named = members.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("region")
-    named = persisted(named.join(mixed, "region", "left_semi"), "mixed")
-    x, y = named.alias("x"), named.alias("y")
+    mixed = named.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("region", "size")
+    named = persisted(named.join(mixed, "region"), "mixed")
+    few = named.filter(F.col("size") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
     across = x.join(y, F.expr("x.region = y.region AND x.class < y.class AND x.root <> y.root AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
-    grown(across.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+    grown(across.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).union(_block_pairs(named.filter(F.col("size") > SMALL), described)))
     return described, roots
 
 
