@@ -9,7 +9,7 @@ Documents with equal shingle sets are one class. Two classes link when their Jac
 2. Within a region the pivot is its smallest member: all members are compared with it, and what links is one component. Pivots are
    taken again among the members outside it, a fixed number of times; then members of different components are compared across,
    within the triangle inequality's windows: sizes (distance from the empty set) and, for the symmetric-difference metric of
-   bitmaps of 2048 parities, a lower bound of the distance. Pairs inside a component need no comparison: the component is known.
+   bitmaps of 2048 parities or more, twice the set's size,, a lower bound of the distance. Pairs inside a component need no comparison: the component is known.
 3. Each pair that is left is decided by the exact intersection of the two sets.
 
 Sets are recomputed from the texts where they are needed rather than shuffled; regions with the same members count once. Shingles
@@ -75,9 +75,14 @@ def describe(docs: DataFrame) -> DataFrame:
             for first, sizes, classes, owner, codes in _sets(batch):
                 rows = len(sizes)
                 parity = (np.bincount(owner * PARITIES + (codes % np.uint64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1).astype(bool)
-                packed = np.packbits(parity.reshape(rows, PARITIES), axis=1)
+                packed = [p.tobytes() for p in np.packbits(parity.reshape(rows, PARITIES), axis=1)]
+                stop = np.cumsum(sizes)
+                for i in np.flatnonzero(2 * sizes > PARITIES).tolist():  # larger sets have more slots, a multiple of the usual number
+                    width = 1 << int(2 * sizes[i] - 1).bit_length()
+                    slots = (codes[stop[i] - sizes[i] : stop[i]] % np.uint64(width)).astype(np.int64)
+                    packed[i] = np.packbits((np.bincount(slots, minlength=width) & 1).astype(bool)).tobytes()
                 nothing = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(sizes.astype(np.int64)), pa.array(classes), pa.array([p.tobytes() for p in packed], pa.binary()), nothing, nothing], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(sizes.astype(np.int64)), pa.array(classes), pa.array(packed, pa.binary()), nothing, nothing], names=names)
                 fresh = np.array([not (c in seen or seen.add(c)) for c in classes.tolist()], bool)
                 held.append(codes[fresh[owner]])
                 size += len(held[-1])
@@ -169,6 +174,18 @@ def regions(docs: DataFrame, widespread: tuple[np.ndarray, np.ndarray], entries:
     return found.distinct()
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer slots: slot s of the result is the sum of all slots that are s modulo the new number."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _same_width(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+    words = min(len(x), len(y)) // 8
+    return _folded(np.frombuffer(x, np.uint64), words), _folded(np.frombuffer(y, np.uint64), words)
+
+
 def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and parities do not rule out: popcount of the differing parities is at most the symmetric difference."""
     kinds = described.filter("shingle IS NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("parities").alias("parities"))
@@ -179,8 +196,7 @@ def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for c in ("pa", "pb")]
-            least = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+            least = np.array([np.bitwise_count(np.bitwise_xor(*_same_width(x, y))).sum() for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)])
             both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(7 * least.astype(np.int64) <= both))
 
@@ -200,7 +216,7 @@ def _block_pairs(members: DataFrame, described: DataFrame) -> DataFrame:
 
     def compare(group: pa.Table) -> pa.Table:
         cls, root, n, block = (group.column(c).to_numpy() for c in ("class", "root", "n", "block"))
-        bits = np.frombuffer(b"".join(group.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        bits = np.stack([_folded(np.frombuffer(p, np.uint64), PARITIES // 64) for p in group.column("parities").to_pylist()])
         cross, found = group.column("i")[0].as_py() != group.column("j")[0].as_py(), []
         for s in range(0, len(cls), 64):
             part = slice(s, s + 64)
