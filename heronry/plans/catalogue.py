@@ -1,9 +1,8 @@
-"""All registered queries of the core engine and their SQL twins, collected from the plan modules."""
+"""All registered queries of the core engine and their SQL twins; each imported module registers its own."""
 
 from __future__ import annotations
 
-from heronry.plans import core
+from heronry.plans import activity, core, rules, streams  # noqa: F401
+from heronry.plans.base import ORACLE_SQL, QUERIES
 
-MODULES = (core,)
-QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
-ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+__all__ = ["ORACLE_SQL", "QUERIES"]
