@@ -215,6 +215,30 @@ def test_similar_lines(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def fives(line):
+    low = line.strip(" ").lower()
+    return {low[i : i + 5] for i in range(len(low) - 4)}
+
+
+def test_crowded_band_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    template, texts = " ".join(word() for _ in range(15)), []
+    for _ in range(120):
+        tail = [word() for _ in range(14)]
+        texts.append(" ".join([template, *tail]))
+        tail[int(rng.integers(0, 14))] = word()
+        texts.append(" ".join([template, *tail]))
+    sets, head = [fives(t) for t in texts], list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if 4 * common >= 3 * (len(sets[a]) + len(sets[b]) - common):
+            head[b] = head[a]
+    assert sum(h != i for i, h in enumerate(head)) == 120
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.rep_doc_id for r in line_dedup.dedup_lines(table).collect()} == dict(enumerate(head))
+
+
 def test_leaks_and_templates(spark, docs, sf_dir, odd, empty):
     item = "A train leaves Paris at 9 and travels 120 km in 2 hours before it reaches the second station on the line"
     other = "A train leaves Rome at 7 and travels 300 miles in 5 hours before it reaches the second station on the line"
