@@ -239,6 +239,15 @@ def test_crowded_band_equals_brute_force(spark):
     assert {r.doc_id: r.rep_doc_id for r in line_dedup.dedup_lines(table).collect()} == dict(enumerate(head))
 
 
+def test_short_equal_lines_go_in_query_and_pipeline(spark, tmp_path):
+    texts = ["of, edti oner.\n\nab", "Of, edti oner. \n\nof, edti oners.", "ab"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line_no) for r in rows if not r.kept} == {(1, 0), (2, 0)} and len(rows) == 7
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {0: texts[0], 1: "\nof, edti oners.", 2: ""}
+
+
 def test_leaks_and_templates(spark, docs, sf_dir, odd, empty):
     item = "A train leaves Paris at 9 and travels 120 km in 2 hours before it reaches the second station on the line"
     other = "A train leaves Rome at 7 and travels 300 miles in 5 hours before it reaches the second station on the line"
