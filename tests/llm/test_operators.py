@@ -248,6 +248,14 @@ def test_short_equal_lines_go_in_query_and_pipeline(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {0: texts[0], 1: "\nof, edti oners.", 2: ""}
 
 
+def test_lines_that_differ_at_an_end(spark):
+    texts = ["1. terms of use of this whole site page 12", "2. terms of use of this whole site page 13", "see the full index on p. 31", "see the full index on p. 32", "contact our editorial team1", "contact our editorial team2"]
+    for x, y in zip(texts[::2], texts[1::2], strict=True):
+        assert 4 * len(fives(x) & fives(y)) >= 3 * len(fives(x) | fives(y))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.rep_doc_id for r in line_dedup.dedup_lines(table).collect()} == {i: i - i % 2 for i in range(6)}
+
+
 def test_leaks_and_templates(spark, docs, sf_dir, odd, empty):
     item = "A train leaves Paris at 9 and travels 120 km in 2 hours before it reaches the second station on the line"
     other = "A train leaves Rome at 7 and travels 300 miles in 5 hours before it reaches the second station on the line"
