@@ -248,6 +248,18 @@ def test_short_equal_lines_go_in_query_and_pipeline(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()} == {0: texts[0], 1: "\nof, edti oners.", 2: ""}
 
 
+def test_similar_lines_meet_in_a_band_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    template = [word() for _ in range(24)]
+    texts = [" ".join(template + [word() for _ in range(7)]) for _ in range(3000)]
+    for text in texts[:40]:  # three words of the tail change, so that the copy shares bands of the template alone
+        texts.append(" ".join(word() if at in (24, 27, 30) else w for at, w in enumerate(text.split())))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.rep_doc_id for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {i: i - 3000 if i >= 3000 else i for i in range(3040)}
+
+
 def test_lines_that_differ_at_an_end(spark):
     texts = ["1. terms of use of this whole site page 12", "2. terms of use of this whole site page 13", "see the full index on p. 31", "see the full index on p. 32", "contact our editorial team1", "contact our editorial team2"]
     for x, y in zip(texts[::2], texts[1::2], strict=True):
