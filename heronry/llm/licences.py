@@ -1,8 +1,8 @@
 """License scans by a positional index of rare licence words, in DataFrame expressions alone.
 
 Template words are ranked by their inverse document frequency over all documents; those far more frequent than their template's
-rarer words are not looked up. Each text looks up the postings of its highest
-ranked template words, intersects them by relative position (text position minus template position, the same for all words of one
+rarer words are not looked up. Each text looks up the postings of all
+other template words it holds, intersects them by relative position (text position minus template position, the same for all words of one
 occurrence), and an occurrence counts when enough words agree and every mandatory key phrase stands at its place. The anchors of
 key phrases are always looked up. The three base phrases are templates of which the phrase is all: each place is found.
 
@@ -50,7 +50,8 @@ COMMON = set("a all and any are as at be by can for free in into is it made may
 
 #: Runs of digits, ASCII letters and everything beyond ASCII; the same set as a negated class is some ten times slower to match.
 WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-LOOKED_UP = 16
+#: Words that must agree at most; half of a template's words where it has fewer than twice as many.
+AGREE = 8
 
 
 def _templates() -> list[dict]:
@@ -111,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
     anchors = sorted({p[2][p[3]] for p in phrases}, key=rank.get)
     known = "array(" + ", ".join(f"named_struct('id', {k}, 'anchor', '{p[2][p[3]]}', 'q', {p[3]}, 'words', {_strings(p[2])}, 'len', {len(p[2])})" for k, p in enumerate(phrases)) + ")"
 
-    rows = _words(docs).withColumn("rare", F.expr(f"array_union(slice(array_intersect({_strings(ranked)}, words), 1, {LOOKED_UP}), array_intersect({_strings(anchors)}, words))"))
+    rows = _words(docs).withColumn("rare", F.expr(f"array_intersect({_strings(sorted({*ranked, *anchors}, key=rank.get))}, words)"))
     rows = rows.withColumn("positions", F.expr("CASE WHEN size(rare) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(words) - 1), i -> array_contains(rare, words[i])) END"))
     stands = "CASE WHEN x.anchor = words[p] AND p >= x.q THEN slice(words, p - x.q + 1, x.len) = x.words ELSE false END"
     rows = rows.withColumn("found", F.expr(f"CASE WHEN size(positions) = 0 THEN NULL ELSE transform(positions, p -> named_struct('p', p, 'w', words[p], 'ph', transform(filter({known}, x -> {stands}), x -> named_struct('id', x.id, 'at', p - x.q)))) END"))
@@ -124,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
     places = spark.createDataFrame([(k, t, bit, at) for k, (t, bit, _, _, at) in enumerate(phrases)], "phrase int, template int, bit int, at int")
     keys = one.select("doc_id", "key", F.explode("o.ph").alias("x")).join(F.broadcast(places), F.col("x.id") == F.col("phrase")).select("doc_id", "key", "template", (F.col("x.at") - F.col("at")).alias("shift"), F.lit(0).cast("long").alias("wm"), F.expr("shiftleft(1L, bit)").alias("pm"))
     needs = spark.createDataFrame(
-        [(t, x["label"], max(1, -(-min(LOOKED_UP, len({x["words"][i] for i in x["marks"]})) // 2)), len(x["marks"]), (1 << len(x["phrases"])) - 1) for t, x in enumerate(templates)],
+        [(t, x["label"], max(1, min(AGREE, -(-len({x["words"][i] for i in x["marks"]}) // 2))), len(x["marks"]), (1 << len(x["phrases"])) - 1) for t, x in enumerate(templates)],
         "template int, label string, least int, marks int, mandatory long",
     )
     occurrences = words.unionByName(keys).groupBy("doc_id", "key", "template", "shift").agg(F.bit_or("wm").alias("wm"), F.bit_or("pm").alias("pm"))

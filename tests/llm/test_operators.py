@@ -149,6 +149,14 @@ def test_licence_base_equals_brute_force(docs, odd, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    passages = [(label, text) for label, text, _ in licences.TEMPLATES]
+    texts = [" . ".join(t for _, t in passages), " . ".join(t for _, t in passages if len(t.split()) > 12), "\n".join(t for label, t in passages if label in ("apache-2.0", "mit", "bsd"))]
+    want = [{label for label, _ in passages}, {label for label, t in passages if len(t.split()) > 12}, {"apache-2.0", "mit", "bsd"}]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_quality_on_held_out_rows(spark, labels, odd, empty):
     big = "/root/testdata/sf0.01"
     big_docs, big_labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
