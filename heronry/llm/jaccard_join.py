@@ -58,16 +58,20 @@ def _sets(batch: pa.RecordBatch):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: doc_id, n, class and parities of every document; and shingle, repeats of shingles that repeat in a task."""
+    """Rows of two kinds: doc_id, n, class and parities of every document; and shingle, repeats of shingles that repeat in a task.
+
+    A column `key` of docs goes with the documents.
+    """
+    keyed = ["key"] if "key" in docs.columns else []
 
     def repeats(held: list[np.ndarray]):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         values, counts = values[counts > 1], counts[counts > 1]
         if len(values):
             nothing = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), *[nothing for _ in keyed]], names=names)
 
-    names = ["doc_id", "n", "class", "parities", "shingle", "repeats"]
+    names = ["doc_id", "n", "class", "parities", "shingle", "repeats", *keyed]
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -82,7 +86,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     slots = (codes[stop[i] - sizes[i] : stop[i]] % np.uint64(width)).astype(np.int64)
                     packed[i] = np.packbits((np.bincount(slots, minlength=width) & 1).astype(bool)).tobytes()
                 nothing = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(sizes.astype(np.int64)), pa.array(classes), pa.array(packed, pa.binary()), nothing, nothing], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(sizes.astype(np.int64)), pa.array(classes), pa.array(packed, pa.binary()), nothing, nothing, *[batch.column(k).slice(first, rows) for k in keyed]], names=names)
                 fresh = np.array([not (c in seen or seen.add(c)) for c in classes.tolist()], bool)
                 held.append(codes[fresh[owner]])
                 size += len(held[-1])
@@ -92,7 +96,7 @@ def describe(docs: DataFrame) -> DataFrame:
         if held:
             yield from repeats(held)
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, parities binary, shingle long, repeats long")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, class long, parities binary, shingle long, repeats long", *[f"{k} long" for k in keyed]]))
 
 
 def _widespread(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -280,11 +284,11 @@ def _links(docs: DataFrame, pairs: DataFrame, described: DataFrame) -> DataFrame
     return links
 
 
-def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described documents, class -> root) for the classes that link with another."""
+def class_components(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(described documents, with a key of the text where asked for, class -> root) for the classes that link with another."""
     docs = id_and_text(docs)
     spark = docs.sparkSession
-    described = persisted(describe(docs), "described")
+    described = persisted(describe(docs.withColumn("key", F.xxhash64("text")) if keyed else docs), "described")
     entries = described.filter("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
     members = persisted(regions(docs, _widespread(described), entries // 4), "regions")
     edges = spark.createDataFrame([], "a long, b long")
@@ -327,11 +331,19 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose doc_id is their component's smallest (repeated rows of one doc_id: one stays)."""
-    found = components(docs)
-    stays = found.groupBy(F.col("doc_id").alias("__d")).agg(F.min("component_id").alias("__c")).filter(F.col("__c").eqNullSafe(F.col("__d"))).select("__d")
-    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each component, all columns as they are: that of the smallest doc_id, null last, and of its texts one.
+
+    It is decided by row (doc_id and text), so rows of one doc_id, null too, that are in different components do not touch each
+    other. Rows without shingles link with nothing and stay. Of rows that repeat doc_id and text one stays.
+    """
+    described, roots = class_components(docs, keyed=True)
+    rows = described.filter("shingle IS NULL").select("doc_id", "n", "class", "key").join(roots.withColumnRenamed("id", "class"), "class", "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "key")
+    chosen = rows.filter("n > 0").groupBy(F.coalesce("root", "class")).agg(F.min(order).alias("c")).select("c.doc_id", "c.key")
+    stays = chosen.union(rows.filter("n = 0").select("doc_id", "key")).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return kept.drop("__key").dropDuplicates(["doc_id", "text"])
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

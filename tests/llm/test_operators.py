@@ -223,6 +223,16 @@ def test_similar_lines(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_one_of_each_decides_by_row(spark):
+    words = lambda k: [f"{k}w{i}" for i in range(60)]
+    text, near = (lambda k: " ".join(words(k))), (lambda k: " ".join(words(k)[:-1] + ["other"]))
+    rows = [(2, text("a")), (None, near("a")), (None, text("b")), (None, near("b")), (None, text("c")), (5, near("a")), (5, text("d")), (7, text("e")), (7, text("f")), (None, None), (9, ""), (9, "")]
+    got = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len([t for _, t in got if t in (text("b"), near("b"))]) == 1
+    rest = [(2, text("a")), (None, text("c")), (5, text("d")), (7, text("e")), (7, text("f")), (None, None), (9, "")]
+    assert sorted(map(str, (x for x in got if x[1] not in (text("b"), near("b"))))) == sorted(map(str, rest))
+
+
 def fives(line):
     low = line.strip(" ").lower()
     return {low[i : i + 5] for i in range(len(low) - 4)}
