@@ -6,7 +6,7 @@ storage, so the plan stays short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from heronry.scratch import discard, persisted
@@ -35,15 +35,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Edges with a null end or equal ends only name their id; repeated edges change nothing.
     """
     known = edges.select("a", "b").dropna()
-    current = persisted(known.filter("a <> b").distinct(), "edges")
-    mark = None
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df in shared storage, and a mark of its rows that the same job has taken."""
+        seen = Observation()
+        sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")]
+        out = persisted(df.observe(seen, *sums), "edges")
+        return out, (seen.get["n"], seen.get["s"])
+
+    current, mark = written(known.filter("a <> b").distinct())
     for _ in range(most_rounds):
-        before, current = current, persisted(_small_star(_large_star(current)), "edges")
+        before, last = current, mark
+        current, mark = written(_small_star(_large_star(current)))
         discard(before)
-        row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        if (row.n, row.s) == mark:
+        if mark == last:
             break
-        mark = (row.n, row.s)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = current.select(F.col("b").alias("id"), F.col("b").alias("root")).union(current.select(F.col("a").alias("id"), F.col("b").alias("root"))).distinct()
