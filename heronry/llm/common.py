@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import ctypes
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +21,32 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows for the actions within: for rows that hold large values."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int):
+    """Arrow batches of at most so many rows and bytes for the actions within: they bound the memory of a Python worker."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-#: Odd multiplier of the polynomial byte hash and the constants of the 64-bit finaliser (fixed values).
+def lean(run):
+    """run(batches) as it is; at its end the worker, which Spark keeps for other tasks, gives freed memory back to the system."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+#: An odd multiplier and the constants of the 64-bit finaliser (fixed values).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -45,28 +61,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n."""
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, BASE, np.uint64), np.full(size, inverse, np.uint64)
-            up[0] = down[0] = 1
-            _POWERS, _INVERSES = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[:n], _INVERSES[:n]
+PLACES = 64
+with np.errstate(over="ignore"):
+    #: A pseudo-random value for each place in a word and each byte, and an odd factor for each further PLACES bytes.
+    TABLE = mix64(np.arange(PLACES * 256, dtype=np.uint64) * BASE + MIX_A)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for every span, in one pass over the bytes."""
+    """64-bit hash of data[start:end] for every span (in order, apart from each other), in one pass over the bytes: a sum of table values by place and byte."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        up, down = _powers(len(data) + 1)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX_B)
+        begun = np.zeros(len(data), np.int32)
+        begun[starts[starts < len(data)]] = starts[starts < len(data)]
+        place = np.arange(len(data), dtype=np.int32) - np.maximum.accumulate(begun)
+        values = TABLE[((place & (PLACES - 1)) << 8) | data]
+        if (ends - starts).max() > PLACES:
+            values *= mix64((place // PLACES).astype(np.uint64) * BASE) | np.uint64(1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        return mix64(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * MIX_B)

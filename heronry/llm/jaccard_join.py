@@ -2,18 +2,24 @@
 
 Documents with equal shingle sets are one class. Two classes link when their Jaccard distance is at most 1/4.
 
-1. Regions. In a text corpus most pairs are at distance 1 from each other and from any document, so a document pivot alone gives
-   windows that hold everything. The pivots of the first level are therefore single shingles: a set is near {s} if it holds s. A set
-   of n shingles lies in the regions of its n - ceil(3n/4) + 1 first shingles in one fixed order that puts widespread shingles
-   last; sets at distance 1/4 or less share such a region (each has too few other shingles), so no link is lost.
-2. Within a region the pivot is its smallest member: all members are compared with it, and what links is one component. Pivots are
-   taken again among the members outside it, a fixed number of times; then members of different components are compared across,
-   within the triangle inequality's windows: sizes (distance from the empty set) and, for the symmetric-difference metric of
-   bitmaps of 2048 parities or more, twice the set's size,, a lower bound of the distance. Pairs inside a component need no comparison: the component is known.
-3. Each pair that is left is decided by the exact intersection of the two sets.
-
-Sets are recomputed from the texts where they are needed rather than shuffled; regions with the same members count once. Shingles
-travel as 64-bit hashes and classes as 64-bit sums of them.
+1. First-level regions. Between most documents of a corpus the distance is 1, also to any document chosen as pivot, so windows
+   around document pivots would hold everything. The pivots of the first level are therefore single shingles: a set is near {s} if
+   it holds s. A set of n shingles is replicated to the regions of its n - ceil(3n/4) + 1 first shingles in one fixed order that puts
+   widespread shingles last; sets at distance 1/4 or less share such a region, so no link is lost.
+2. Stars. Each member of a region is compared with the region's smallest member; what links is one component. Pairs inside a
+   component need no comparison.
+3. Voronoi regions. Regions that hold several components and many members are divided by document pivots: each member is at home
+   with its nearest pivot, and goes as boundary document to each other region whose pivot is within the region's radius plus the
+   member's reach (triangle inequality). Regions are divided again while that saves comparisons, on the cluster while they have more
+   than `LARGE` members, in one task below; what can't be divided further is compared in pairs of blocks of bounded size. The
+   metric is the symmetric difference of bitmaps of shingle parities, which never exceeds that of the sets: a set of n shingles
+   reaches n/3, as sets at Jaccard distance 1/4 or less differ in (n + 4n/3)/7 shingles at most. So no link is lost here either.
+4. Each member is first compared with the nearest of each other component, then with all that are left. Each pair that bounds do
+   not rule out is decided by the exact intersection of the two sets.
+
+Sets are recomputed from the texts of those documents that are compared rather than shuffled for all; regions with the same members
+count once, and a shingle of very many members is dealt over several tasks. Shingles travel as 64-bit hashes and classes as 64-bit
+sums of them.
 
 A document with fewer than five words has its whole sequence as one shingle; without words (or text) it has none, links with nothing
 and is its own component. Rows that repeat a doc_id form one document id with links of each of its texts; a null doc_id is never a
@@ -22,99 +28,130 @@ component's smallest id unless all are null; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import arrow_rows, id_and_text, mix64, table
+from heronry.llm.common import arrow_batches, id_and_text, lean, mix64, table
 from heronry.llm.words import shingle_sets, slices
 from heronry.operators.graph import connected_components
-from heronry.scratch import discard, persisted
+from heronry.scratch import persisted
 
 WIDTH = 5
 PARITIES = 2048
 #: How many shingles that repeat within a task are kept, by falling number of repeats; it changes speed alone.
 MOST_WIDESPREAD = 1_000_000
-PIVOT_ROUNDS = 1
-#: Members up to which a region's pairs are joined as rows; larger regions are compared in blocks of so many members.
-SMALL, BLOCK = 32, 2048
+#: Entries of first-level regions that one task gathers; a shingle with more of them is dealt over several tasks.
+GATHERED = 250_000
+#: Members of a region from which on it is divided on the cluster, and of one that a task compares without dividing it.
+LARGE, LEAF = 2048, 128
+PIVOTS, LEVELS = 32, 4
 FILTER_BITS = 23
+#: Codes that a task holds before it counts them, and rows and bytes of an Arrow batch: they bound the memory of a Python worker.
+HELD, ROWS, BYTES = 1_500_000, 1000, 4 << 20
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-def _sets(batch: pa.RecordBatch):
-    """(first row, shingle counts, classes, owner and hash of every shingle) for each slice of a batch of (doc_id, text)."""
-    for first, texts in slices(batch.column("text")):
-        owner, codes = shingle_sets(texts, WIDTH)
-        sizes = np.bincount(owner, minlength=len(texts))
-        classes = np.zeros(len(texts), np.uint64)
+def _sets(texts):
+    """(first row, shingle counts, classes, owner and hash of every shingle) for each slice of a column of texts."""
+    for first, part in slices(texts, rows=512):
+        owner, codes = shingle_sets(part, WIDTH)
+        sizes = np.bincount(owner, minlength=len(part))
+        classes = np.zeros(len(part), np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(classes, owner, mix64(codes + np.uint64(1)))
         yield first, sizes, classes.view(np.int64), owner, codes
 
 
+class _Fresh:
+    """Which classes a task has not seen lately; what it remembers is bounded."""
+
+    def __init__(self, most: int = 50_000):
+        self.seen, self.most = set(), most
+
+    def of(self, classes: np.ndarray) -> np.ndarray:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        return np.array([not (c in self.seen or self.seen.add(c)) for c in classes.tolist()], bool)
+
+
+def _bitmaps(sizes: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> list[bytes]:
+    """Parities of the shingles by slot; larger sets have more slots, a multiple of PARITIES."""
+    rows = len(sizes)
+    parity = (np.bincount(owner * PARITIES + (codes % np.uint64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1).astype(bool)
+    packed = [p.tobytes() for p in np.packbits(parity.reshape(rows, PARITIES), axis=1)]
+    stop = np.cumsum(sizes)
+    for i in np.flatnonzero(2 * sizes > PARITIES).tolist():
+        width = 1 << int(2 * sizes[i] - 1).bit_length()
+        slots = (codes[stop[i] - sizes[i] : stop[i]] % np.uint64(width)).astype(np.int64)
+        packed[i] = np.packbits((np.bincount(slots, minlength=width) & 1).astype(bool)).tobytes()
+    return packed
+
+
+DESCRIBED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("parities", pa.binary()), ("shingle", pa.int64()), ("repeats", pa.int64())])
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: doc_id, n, class and parities of every document; and shingle, repeats of shingles that repeat in a task.
+    """Rows of two kinds: doc_id, key, n, class and parities of every document; and shingle, repeats of shingles that repeat in a task."""
 
-    A column `key` of docs goes with the documents.
-    """
-    keyed = ["key"] if "key" in docs.columns else []
+    def rows(count: int, **columns):
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in DESCRIBED], schema=DESCRIBED)
 
     def repeats(held: list[np.ndarray]):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         values, counts = values[counts > 1], counts[counts > 1]
-        if len(values):
-            nothing = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), *[nothing for _ in keyed]], names=names)
-
-    names = ["doc_id", "n", "class", "parities", "shingle", "repeats", *keyed]
+        for at in range(0, len(values), 100_000):
+            part = values[at : at + 100_000]
+            yield rows(len(part), shingle=pa.array(part.view(np.int64)), repeats=pa.array(counts[at : at + 100_000].astype(np.int64)))
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        held, size, fresh = [], 0, _Fresh()
         for batch in batches:
-            for first, sizes, classes, owner, codes in _sets(batch):
-                rows = len(sizes)
-                parity = (np.bincount(owner * PARITIES + (codes % np.uint64(PARITIES)).astype(np.int64), minlength=rows * PARITIES) & 1).astype(bool)
-                packed = [p.tobytes() for p in np.packbits(parity.reshape(rows, PARITIES), axis=1)]
-                stop = np.cumsum(sizes)
-                for i in np.flatnonzero(2 * sizes > PARITIES).tolist():  # larger sets have more slots, a multiple of the usual number
-                    width = 1 << int(2 * sizes[i] - 1).bit_length()
-                    slots = (codes[stop[i] - sizes[i] : stop[i]] % np.uint64(width)).astype(np.int64)
-                    packed[i] = np.packbits((np.bincount(slots, minlength=width) & 1).astype(bool)).tobytes()
-                nothing = pa.nulls(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(sizes.astype(np.int64)), pa.array(classes), pa.array(packed, pa.binary()), nothing, nothing, *[batch.column(k).slice(first, rows) for k in keyed]], names=names)
-                fresh = np.array([not (c in seen or seen.add(c)) for c in classes.tolist()], bool)
-                held.append(codes[fresh[owner]])
+            for first, sizes, classes, owner, codes in _sets(batch.column("text")):
+                n = len(sizes)
+                yield rows(n, doc_id=batch.column("doc_id").slice(first, n), key=batch.column("key").slice(first, n), n=pa.array(sizes.astype(np.int64)), **{"class": pa.array(classes)}, parities=pa.array(_bitmaps(sizes, owner, codes), pa.binary()))
+                held.append(codes[fresh.of(classes)[owner]])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > HELD:
                     yield from repeats(held)
-                    held, size, seen = [], 0, set()
+                    held, size = [], 0
         if held:
             yield from repeats(held)
 
-    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, class long, parities binary, shingle long, repeats long", *[f"{k} long" for k in keyed]]))
+    return docs.mapInArrow(lean(run), "doc_id long, key long, n long, class long, parities binary, shingle long, repeats long")
 
 
-def _widespread(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most repeated shingles, sorted, with the logarithm of their repeats: at most MOST_WIDESPREAD of them (9 MB)."""
-    counts = described.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("repeats").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(MOST_WIDESPREAD).select("shingle", F.ceil(2 * F.log2("n")).cast("byte").alias("level")).toArrow()
-    codes = top["shingle"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    return codes[order], top["level"].to_numpy().astype(np.int8)[order]
+@dataclass
+class Order:
+    """The most repeated shingles, sorted, with the logarithm of their repeats, and those of them that need several tasks."""
 
+    codes: np.ndarray
+    levels: np.ndarray
+    hot: np.ndarray
+    salts: int
 
-def _levels(widespread: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    """0 for shingles not known as widespread, more for more widespread ones."""
-    known, levels = widespread
-    if not len(known):
-        return np.zeros(len(codes), np.int8)
-    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    return np.where(known[at] == codes, levels[at], 0)
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """0 for shingles not known as widespread, more for more widespread ones."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int8)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.levels[at], 0)
+
+
+def _order(described: DataFrame) -> Order:
+    """At most MOST_WIDESPREAD shingles (9 MB)."""
+    counts = described.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("repeats").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(MOST_WIDESPREAD).select("shingle", "n").toArrow()
+    codes, n = top["shingle"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    return Order(codes, np.ceil(2 * np.log2(np.maximum(n, 1))).astype(np.int8), codes[n > GATHERED], int(-(-n[n > GATHERED].sum() // GATHERED)))
 
 
 def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -124,13 +161,16 @@ def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == values
 
 
-def regions(docs: DataFrame, widespread: tuple[np.ndarray, np.ndarray], entries: int) -> DataFrame:
+def regions(docs: DataFrame, order: Order, entries: int) -> DataFrame:
     """region, class, n: members of every first-level region with two members or more; regions of the same members once."""
-    shared = docs.sparkSession.sparkContext.broadcast(widespread)
-    bits = max(5, int(np.ceil(np.log2(max(1, entries / 500_000)))))
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+    bits = max(5, int(np.ceil(np.log2(max(1, entries / GATHERED)))))
 
     def blobs(code, cls, n):
-        bucket = (code >> np.uint64(64 - bits)).astype(np.int32)
+        bucket = (code >> np.uint64(64 - bits)).astype(np.int64)
+        if len(shared.value.hot):
+            hot = _within(shared.value.hot, code)
+            bucket[hot] = (1 << bits) + (mix64(cls[hot].view(np.uint64)) % np.uint64(shared.value.salts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         code, cls, n, bucket = code[order], cls[order], n[order], bucket[order]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -139,31 +179,33 @@ def regions(docs: DataFrame, widespread: tuple[np.ndarray, np.ndarray], entries:
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), part(code), part(cls), part(n)], names=["bucket", "codes", "classes", "sizes"])
 
     def emit(batches):
-        held, size, seen = [], 0, set()
+        held, size, seen = [], 0, _Fresh()
         for batch in batches:
-            for _, sizes, classes, owner, codes in _sets(batch):
-                fresh = np.array([not (c in seen or seen.add(c)) for c in classes.tolist()], bool)
-                keep = fresh[owner]
+            for _, sizes, classes, owner, codes in _sets(batch.column("text")):
+                keep = seen.of(classes)[owner]
                 owner, codes = owner[keep], codes[keep]
-                order = np.lexsort((codes, _levels(shared.value, codes), owner))
-                owner, codes = owner[order], codes[order]
-                rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                first = rank < prefix_length(sizes)[owner]
+                rank = np.lexsort((codes, shared.value.of(codes), owner))
+                owner, codes = owner[rank], codes[rank]
+                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                first = place < prefix_length(sizes)[owner]
                 owner, codes = owner[first], codes[first]
                 held.append((codes, classes[owner], sizes[owner].astype(np.int32)))
                 size += len(codes)
-                if size > 1_000_000:
+                if size > HELD // 4:
                     yield blobs(*map(np.concatenate, zip(*held, strict=True)))
                     held, size = [], 0
         if size:
             yield blobs(*map(np.concatenate, zip(*held, strict=True)))
 
     def gather(group: pa.Table) -> pa.Table:
-        code, cls, n = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(c)]) for c, kind in (("codes", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
+        code, cls, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(c)]) for c, kind in (("codes", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
+        salted = group.column("bucket")[0].as_py() >= 1 << bits
         order = np.lexsort((cls, code))
         code, cls, n = code[order], cls[order], n[order]
         fresh = np.r_[True, (code[1:] != code[:-1]) | (cls[1:] != cls[:-1])]
         code, cls, n = code[fresh], cls[fresh], n[fresh]
+        if salted:  # other tasks hold more of the same regions
+            return pa.table([mix64(code).view(np.int64), cls, n.astype(np.int64)], names=["region", "class", "n"])
         start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         count = np.diff(np.r_[start, len(code)])
         with np.errstate(over="ignore"):
@@ -174,7 +216,7 @@ def regions(docs: DataFrame, widespread: tuple[np.ndarray, np.ndarray], entries:
         take = np.repeat(start[chosen], count[chosen]) + (np.arange(count[chosen].sum()) - np.repeat(np.cumsum(count[chosen]) - count[chosen], count[chosen]))
         return pa.table([np.repeat(mark[chosen], count[chosen]).view(np.int64), cls[take], n[take].astype(np.int64)], names=["region", "class", "n"])
 
-    found = docs.mapInArrow(emit, "bucket int, codes binary, classes binary, sizes binary").groupBy("bucket").applyInArrow(gather, "region long, class long, n long")
+    found = docs.mapInArrow(lean(emit), "bucket long, codes binary, classes binary, sizes binary").groupBy("bucket").applyInArrow(gather, "region long, class long, n long")
     return found.distinct()
 
 
@@ -190,9 +232,13 @@ def _same_width(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _folded(np.frombuffer(x, np.uint64), words), _folded(np.frombuffer(y, np.uint64), words)
 
 
-def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
+def _table_of_bits(column) -> np.ndarray:
+    """One row of PARITIES bits for each bitmap."""
+    return np.stack([_folded(np.frombuffer(p.as_buffer(), np.uint64), PARITIES // 64) for p in column]) if len(column) else np.zeros((0, PARITIES // 64), np.uint64)
+
+
+def _possible(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and parities do not rule out: popcount of the differing parities is at most the symmetric difference."""
-    kinds = described.filter("shingle IS NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("parities").alias("parities"))
     side = lambda x: kinds.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parities").alias(f"p{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
 
@@ -207,116 +253,225 @@ def _possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(judge, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, described: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one region and different components that sizes and parities allow, compared block by block.
+# --- Voronoi regions -------------------------------------------------------------------------------------------------------
 
-    A region's members are dealt into blocks of about BLOCK members, and each pair of blocks is one group of bounded size.
-    """
-    kinds = described.filter("shingle IS NULL").groupBy("class").agg(F.first("parities").alias("parities"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.join(kinds, "class").withColumn("block", F.pmod(F.hash("class"), blocks))
-    meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    rows = rows.select("region", "class", "root", "n", "parities", "block", F.explode(meet).alias("m")).select("*", "m.i", "m.j").drop("m")
 
-    def compare(group: pa.Table) -> pa.Table:
-        cls, root, n, block = (group.column(c).to_numpy() for c in ("class", "root", "n", "block"))
-        bits = np.stack([_folded(np.frombuffer(p, np.uint64), PARITIES // 64) for p in group.column("parities").to_pylist()])
-        cross, found = group.column("i")[0].as_py() != group.column("j")[0].as_py(), []
-        for s in range(0, len(cls), 64):
-            part = slice(s, s + 64)
-            small, large = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
-            ok = (cls[part, None] < cls) & (root[part, None] != root) & (4 * small >= 3 * large)
-            if cross:
-                ok &= block[part, None] != block
-            i, j = np.nonzero(ok)
-            for t in range(0, len(i), 1 << 16):
-                u, v = i[t : t + (1 << 16)] + s, j[t : t + (1 << 16)]
-                least = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1).astype(np.int64)
-                near = 7 * least <= n[u] + n[v]
-                found.append((cls[u[near]], cls[v[near]]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def distances(bits: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Symmetric differences of all bitmaps to each pivot's."""
+    return np.stack([np.bitwise_count(bits ^ p).sum(axis=1, dtype=np.int64) for p in pivots], axis=1)
 
-    return rows.groupBy("region", "i", "j").applyInArrow(compare, "a long, b long")
 
+class Members:
+    """Members of one region: class, component (root), size, bitmap and whether they are at home there."""
 
-def _links(docs: DataFrame, pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs at distance 1/4 or less, by the exact intersection of their sets; the result is written to scratch."""
-    pairs = persisted(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    # each class's set is read where its document with the smallest id is; the driver holds one bit per slot, whatever their number
-    sources = described.filter("n > 0").join(wanted, "class", "left_semi").groupBy("class").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id"))
-    slot = F.col("class").bitwiseXOR(F.col("doc_id")).bitwiseAND((1 << FILTER_BITS) - 1) + 1  # the bitmap functions number from 1
-    maps = sources.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    gate = np.zeros(1 << FILTER_BITS, bool)
-    for row in maps.collect():
-        bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
-        gate[(row.part - 1) * len(bits) + np.flatnonzero(bits)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(gate))
+    def __init__(self, cls, root, n, home, bits, block=None):
+        self.cls, self.root, self.n, self.home, self.bits, self.block = cls, root, n, home, bits, block
 
-    def emit(batches):
-        gate, seen = np.unpackbits(shared.value).astype(bool), set()
+    def near(self, u: np.ndarray, v: np.ndarray):
+        """(u, v, difference) of the pairs of members that sizes and bitmaps allow."""
+        for t in range(0, len(u), 1 << 15):
+            i, j = u[t : t + (1 << 15)], v[t : t + (1 << 15)]
+            least = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int64)
+            ok = 7 * least <= self.n[i] + self.n[j]
+            yield i[ok], j[ok], least[ok]
+
+    def compared(self, home: np.ndarray, guests: np.ndarray):
+        """All pairs of home members, and of home members and guests, that are of different components."""
+        everyone = np.concatenate([home, guests])
+        for s in range(0, len(home), 64):
+            part = home[s : s + 64]
+            n, m = self.n[part][:, None], self.n[everyone][None, :]
+            ok = (self.root[part][:, None] != self.root[everyone]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (np.arange(s, s + len(part))[:, None] < np.arange(len(everyone)))
+            if self.block is not None:
+                ok &= self.block[part][:, None] != self.block[everyone]
+            i, j = np.nonzero(ok)
+            yield from self.near(part[i], everyone[j])
+
+    def joined(self, home: np.ndarray, guests: np.ndarray):
+        """As compared(), by division at pivots as long as that saves comparisons."""
+        work = len(home) * (len(home) + len(guests))
+        if len(home) <= LEAF or self.block is not None:
+            yield from self.compared(home, guests)
+            return
+        pivots = home[:: max(1, len(home) // min(PIVOTS, 2 * len(home) // LEAF))][:PIVOTS]
+        own, other = distances(self.bits[home], self.bits[pivots]), distances(self.bits[guests], self.bits[pivots])
+        nearest, cells = own.argmin(axis=1), []
+        for k in range(len(pivots)):
+            here = nearest == k
+            if here.any():
+                radius = own[here, k].max()
+                inside = np.concatenate([home[(nearest > k) & (3 * own[:, k] <= 3 * radius + self.n[home])], guests[3 * other[:, k] <= 3 * radius + self.n[guests]]])
+                cells.append((home[here], inside))
+        if sum(len(h) * (len(h) + len(g)) for h, g in cells) > 0.7 * work:
+            yield from self.compared(home, guests)
+            return
+        for h, g in cells:
+            yield from self.joined(h, g)
+
+    def pairs(self, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Classes (a, b) of the pairs that are left; nearest_only: of each member and component the nearest pair alone."""
+        found = list(self.joined(np.flatnonzero(self.home), np.flatnonzero(~self.home)))
+        i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        if nearest_only and len(i):
+            order = np.lexsort((d, self.root[j], i))
+            i, j = i[order], j[order]
+            first = np.r_[True, (i[1:] != i[:-1]) | (self.root[j[1:]] != self.root[j[:-1]])]
+            i, j = i[first], j[first]
+        return self.cls[i], self.cls[j]
+
+
+CELL = "cell long, class long, root long, n long, parities binary, home boolean"
+
+
+def divided(members: DataFrame, level: int) -> DataFrame:
+    """The members of large regions (columns of CELL and the region's size) in smaller ones, by document pivots."""
+    step = F.greatest(F.lit(1), F.floor(F.col("size") / PIVOTS))
+    pivots = members.filter("home").filter(F.pmod(F.xxhash64("class", F.lit(level)), step) == 0).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("class", "parities"))).alias("p"))
+    known = members.join(pivots.select("cell", F.col("p.parities").alias("pivots")), "cell", "left")
+
+    def measure(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            for first, sizes, classes, owner, codes in _sets(batch):
-                stop = np.cumsum(sizes)
-                open_slot = gate[(classes ^ ids[first : first + len(sizes)]) & ((1 << FILTER_BITS) - 1)]
-                rows = [i for i in np.flatnonzero(open_slot & (sizes > 0)).tolist() if not (classes[i] in seen or seen.add(classes[i]))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(classes[rows]), pa.array([codes[stop[i] - sizes[i] : stop[i]].tobytes() for i in rows], pa.binary())], names=["class", "codes"])
+            bits, rows = _table_of_bits(batch.column("parities")), []
+            for b, pivots in zip(bits, batch.column("pivots"), strict=True):
+                rows.append(distances(b[None, :], _table_of_bits(pivots.values))[0].tolist() if pivots.is_valid and len(pivots) else [0])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cell", "class", "root", "n", "parities", "home")], pa.array(rows, pa.list_(pa.int64()))], names=["cell", "class", "root", "n", "parities", "home", "d"])
+
+    measured = known.select("cell", "class", "root", "n", "parities", "home", "pivots").mapInArrow(measure, f"{CELL}, d array<long>")
+    measured = persisted(measured.withColumn("nearest", F.when(F.col("home"), F.array_position("d", F.array_min("d")) - 1)), "distances")
+    radius = measured.filter("home").groupBy("cell", "nearest").agg(F.max(F.array_min("d")).alias("radius")).groupBy("cell").agg(F.collect_list(F.struct(F.col("nearest").alias("k"), "radius")).alias("cells"))
+    placed = measured.join(radius, "cell").select("*", F.explode("cells").alias("c")).withColumn("here", F.col("nearest").eqNullSafe(F.col("c.k")))
+    kept = placed.filter("here OR ((nearest IS NULL OR nearest > c.k) AND 3 * get(d, cast(c.k AS int)) <= 3 * c.radius + n)")
+    return kept.select(F.xxhash64("cell", "c.k").alias("cell"), "class", "root", "n", "parities", F.col("here").alias("home"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """With the region's size; regions without a member at home or with one component hold nothing to compare."""
+    sizes = members.groupBy("cell").agg(F.count("*").alias("size"), F.max("home").alias("any"), F.min("root").alias("low"), F.max("root").alias("high")).filter("any AND low <> high")
+    return members.join(sizes.select("cell", "size"), "cell")
+
+
+def pairs_across(named: DataFrame, kinds: DataFrame, nearest_only: bool) -> DataFrame:
+    """Pairs (a, b) of one region and different components that sizes and bitmaps allow. named: region, class, n, root."""
+    rows = named.join(kinds.select("class", "parities"), "class").select(F.col("region").alias("cell"), "class", "root", "n", "parities", F.lit(True).alias("home"))
+    current, done = persisted(_sized(rows), "cells"), []
+    for level in range(LEVELS):
+        done.append(current.filter(F.col("size") <= LARGE))
+        large = current.filter(F.col("size") > LARGE)
+        if large.isEmpty():
+            break
+        current = persisted(_sized(divided(large, level)), "cells")
+    else:
+        done.append(current)
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    blocks = F.ceil(F.col("size") / LARGE).cast("int")
+    dealt = whole.withColumn("block", F.pmod(F.hash("class"), blocks))
+    meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = dealt.select("*", F.explode(meet).alias("m")).select("cell", "class", "root", "n", "parities", "home", "block", "m.i", "m.j")
 
-    sets = persisted(docs.mapInArrow(emit, "class long, codes binary"), "sets")
-    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a")
+    def compare(group: pa.Table) -> pa.Table:
+        cls, root, n, block = (group.column(c).to_numpy() for c in ("class", "root", "n", "block"))
+        home, bits = group.column("home").to_numpy(zero_copy_only=False).astype(bool), _table_of_bits(group.column("parities"))
+        cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        a, b = Members(cls, root, n, home, bits, block if cross else None).pairs(nearest_only)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def judge(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                shared_size = _within(y, x).sum() if len(y) else 0
-                keep.append(bool(100 * shared_size >= 75 * (len(x) + len(y) - shared_size)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with arrow_rows(docs.sparkSession, 200):  # a row holds two sets
-        links = persisted(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long").distinct(), "links")
-    discard(sets)
-    discard(pairs)
-    return links
-
-
-def class_components(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(described documents, with a key of the text where asked for, class -> root) for the classes that link with another."""
-    docs = id_and_text(docs)
-    spark = docs.sparkSession
-    described = persisted(describe(docs.withColumn("key", F.xxhash64("text")) if keyed else docs), "described")
+    return dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+# --- exact decisions -------------------------------------------------------------------------------------------------------
+
+
+class Sets:
+    """Shingle sets of classes, computed from the text of one document each when they are first asked for."""
+
+    def __init__(self, docs: DataFrame, described: DataFrame):
+        self.docs, self.known, self.spark = docs, None, docs.sparkSession
+        self.sources = described.filter("n > 0").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key")).alias("s")).select("class", "s.*")
+
+    def fetch(self, classes: DataFrame) -> DataFrame:
+        """class, codes of the classes (and of some more)."""
+        missing = classes if self.known is None else classes.join(self.known.select("class"), "class", "left_anti")
+        # the driver holds one bit per slot, whatever their number; documents in other slots are not read further
+        slot = F.col("doc_id").bitwiseXOR(F.col("key")).bitwiseAND((1 << FILTER_BITS) - 1) + 1  # the bitmap functions number from 1
+        wanted = self.sources.join(missing, "class", "left_semi")
+        maps = wanted.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+        if maps or self.known is None:
+            gate = np.zeros(1 << FILTER_BITS, bool)
+            for row in maps:
+                bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+                gate[(row.part - 1) * len(bits) + np.flatnonzero(bits)] = True
+            found = persisted(self._computed(np.packbits(gate)), "sets")
+            self.known = found if self.known is None else self.known.unionByName(found.join(self.known.select("class"), "class", "left_anti"))
+        return self.known
+
+    def _computed(self, gate: np.ndarray) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast(gate)
+
+        def emit(batches):
+            gate, fresh = shared.value, _Fresh()
+            for batch in batches:
+                slot = (batch.column("doc_id").fill_null(0).to_numpy() ^ batch.column("key").to_numpy()) & ((1 << FILTER_BITS) - 1)
+                open_slot = (gate[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+                for _, sizes, classes, _, codes in _sets(batch.column("text").filter(pa.array(open_slot.astype(bool)))):
+                    stop, new = np.cumsum(sizes), fresh.of(classes)
+                    rows = np.flatnonzero(new & (sizes > 0)).tolist()
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(classes[rows]), pa.array([codes[stop[i] - sizes[i] : stop[i]].tobytes() for i in rows], pa.binary())], names=["class", "codes"])
+
+        return self.docs.mapInArrow(lean(emit), "class long, codes binary").dropDuplicates(["class"])
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) at distance 1/4 or less, by the exact intersection of their sets; the result is written to scratch."""
+        sets = self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        both = pairs.join(sets.select(F.col("class").alias("b"), F.col("codes").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("codes").alias("x")), "a")
+
+        def judge(batches):
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                    x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                    common = _within(y, x).sum() if len(y) else 0
+                    keep.append(bool(100 * common >= 75 * (len(x) + len(y) - common)))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return persisted(both.select("a", "b", "x", "y").mapInArrow(lean(judge), "a long, b long").distinct(), "links")
+
+
+def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(described documents, class -> root for the classes that link with another)."""
+    docs = id_and_text(docs).withColumn("key", F.xxhash64("text"))
+    with arrow_batches(docs.sparkSession, ROWS, BYTES):
+        return _class_components(docs)
+
+
+def _class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    described = persisted(describe(docs), "described")
     entries = described.filter("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
-    members = persisted(regions(docs, _widespread(described), entries // 4), "regions")
-    edges = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "id long, root long")
+    members = persisted(regions(docs, _order(described), entries // 4), "regions")
+    kinds = persisted(described.filter("shingle IS NULL").join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("parities").alias("parities")), "kinds")
+    sets, roots, edges, tried = Sets(docs, described), None, None, None
 
     def grown(pairs: DataFrame):
-        nonlocal edges, roots
+        """Decides the pairs that have not been yet, and joins components."""
+        nonlocal roots, edges, tried
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = edges.union(_links(docs, _possible(pairs, described), described))
+        fresh = persisted(_possible(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), kinds), "pairs")
+        links = sets.links(fresh)
+        edges, tried = (links, fresh) if edges is None else (edges.unionByName(links), tried.unionByName(fresh))
         roots = persisted(connected_components(edges), "roots")
 
-    open_members = members
-    for _ in range(PIVOT_ROUNDS):
-        pivots = open_members.groupBy("region").agg(F.min(F.struct("class", "n")).alias("p"))
-        star = open_members.join(pivots, "region").filter("4 * least(n, p.n) >= 3 * greatest(n, p.n)").select(F.col("class").alias("a"), F.col("p.class").alias("b"))
-        grown(star)
-        named = open_members.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        named = persisted(named, "named")
-        heads = pivots.select("region", F.col("p.class").alias("class")).join(named.select("region", "class", "root"), ["region", "class"]).select("region", F.col("root").alias("head"))
-        open_members = persisted(named.join(heads, "region").filter("root <> head").drop("root", "head"), "open")
-
-    named = members.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = named.groupBy("region").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("region", "size")
-    named = persisted(named.join(mixed, "region"), "mixed")
-    few = named.filter(F.col("size") <= SMALL)
-    x, y = few.alias("x"), few.alias("y")
-    across = x.join(y, F.expr("x.region = y.region AND x.class < y.class AND x.root <> y.root AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
-    grown(across.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).union(_block_pairs(named.filter(F.col("size") > SMALL), described)))
+    def mixed() -> DataFrame:
+        """Members of the regions that hold several components."""
+        named = members.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        several = named.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("region")
+        return persisted(named.join(several, "region", "left_semi"), "mixed")
+
+    pivot = members.groupBy("region").agg(F.min(F.struct("class", "n")).alias("p"))
+    grown(members.join(pivot, "region").filter("4 * least(n, p.n) >= 3 * greatest(n, p.n)").select(F.col("class").alias("a"), F.col("p.class").alias("b")))
+    for nearest_only in (True, False):
+        grown(pairs_across(mixed(), kinds, nearest_only))
     return described, roots
 
 
@@ -336,7 +491,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     It is decided by row (doc_id and text), so rows of one doc_id, null too, that are in different components do not touch each
     other. Rows without shingles link with nothing and stay. Of rows that repeat doc_id and text one stays.
     """
-    described, roots = class_components(docs, keyed=True)
+    described, roots = class_components(docs)
     rows = described.filter("shingle IS NULL").select("doc_id", "n", "class", "key").join(roots.withColumnRenamed("id", "class"), "class", "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "key")
     chosen = rows.filter("n > 0").groupBy(F.coalesce("root", "class")).agg(F.min(order).alias("c")).select("c.doc_id", "c.key")

@@ -38,12 +38,12 @@ class Texts:
         return span_hashes(FOLD[self.data], self.starts, self.ends)
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts as UTF-8) for slices of at most `most` bytes or one text; null counts as empty."""
+def slices(column: pa.Array, most: int = 1 << 20, rows: int = 10_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts as UTF-8) for slices of at most `rows` texts and `most` bytes or one text; null counts as empty."""
     first, held, size = 0, [], 0
     for i, value in enumerate(column):
         text = value.as_buffer().to_pybytes() if value.is_valid else b""
-        if held and size + len(text) > most:
+        if held and (size + len(text) > most or len(held) == rows):
             yield first, held
             first, held, size = i, [], 0
         held.append(text)
