@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 512
+    segments: int = 4096
     loss_tokens: int = 4096
 
 
@@ -55,29 +55,37 @@ class Piece:
 
 
 class Packer:
-    """Streams pieces into sequences. `close(pieces)` yields are lists of pieces that stand gapless from offset 0."""
+    """Streams pieces into sequences: lists of pieces that stand gapless from offset 0.
+
+    One sequence is open at a time, and stays open while pieces come in; the pool is what the next piece for it is chosen from. A
+    sequence is closed when no token or segment is left or, where pieces may not be cut, when nothing in a full pool fits.
+    """
 
     def __init__(self, limits: Limits, cut: bool = True, pool: int = 256):
         self.limits, self.cut, self.size, self.pool = limits, cut, pool, []
+        self.cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
+        self.demand = np.zeros((pool + 1, 3))
+        self.open, self.left = [], self.cap.copy()
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        if piece.length > self.limits.tokens and not self.cut:
-            raise ValueError(f"an example of {piece.length} tokens exceeds the limit of {self.limits.tokens} and may not be cut")
-        while piece.length > self.limits.tokens:
-            at = self._fitting(piece, self.limits.tokens, self.limits.loss_tokens)
-            head, piece = piece.split(at)
+        if not self.cut and (piece.length > self.limits.tokens or piece.loss_tokens() > self.limits.loss_tokens):
+            raise ValueError(f"an example of {piece.length} tokens, {piece.loss_tokens()} with loss, exceeds a limit and may not be cut")
+        while piece.length > self.limits.tokens or piece.loss_tokens() > self.limits.loss_tokens:
+            head, piece = piece.split(self._fitting(piece, self.limits.tokens, self.limits.loss_tokens))
             yield [head]
+        self.demand[len(self.pool)] = piece.length, 1, piece.loss_tokens()
         self.pool.append(piece)
         while len(self.pool) > self.size:
-            yield self._fill()
+            yield from self._place()
 
     def finish(self) -> Iterator[list[Piece]]:
         while self.pool:
-            sequence = self._fill()
-            if self.cut and not self.pool:
-                yield from self._powers_of_two(sequence)
-            else:
-                yield sequence
+            yield from self._place()
+        if self.open and self.cut:
+            yield from self._powers_of_two(self.open)
+        elif self.open:
+            yield self.open
+        self.open, self.left = [], self.cap.copy()
 
     def _fitting(self, piece: Piece, tokens: int, loss: int) -> int:
         """The longest prefix within both limits; at least one token."""
@@ -88,28 +96,27 @@ class Packer:
             n = min(n, loss)
         return max(n, 1)
 
-    def _fill(self) -> list[Piece]:
-        cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], float)
-        demand = np.array([[p.length, 1, p.loss_tokens()] for p in self.pool], float)
-        left, taken, out = cap.copy(), np.zeros(len(self.pool), bool), []
-        while left[0] >= 1 and left[1] >= 1:
-            score = (demand / cap) @ (left / cap)
-            fits = ~taken & (demand <= left).all(axis=1)
-            if fits.any():
-                best = int(np.argmax(np.where(fits, score, -1.0)))
-                taken[best] = True
-                out.append(self.pool[best])
-                left -= demand[best]
-            elif self.cut and left[2] >= 1 and not taken.all():
-                best = int(np.argmax(np.where(taken, -1.0, score)))
-                head, rest = self.pool[best].split(self._fitting(self.pool[best], int(left[0]), int(left[2])))
-                self.pool[best] = rest
-                out.append(head)
-                break
-            else:
-                break
-        self.pool = [p for p, gone in zip(self.pool, taken, strict=True) if not gone]
-        return out
+    def _place(self) -> Iterator[list[Piece]]:
+        """Places the best piece of the pool, or the part of it that fits, or closes the open sequence."""
+        demand = self.demand[: len(self.pool)]
+        score = demand @ (self.left / self.cap**2)
+        fits = (demand <= self.left).all(axis=1)
+        if fits.any():
+            best = int(np.argmax(np.where(fits, score, -1.0)))
+            self.open.append(self.pool[best])
+            self.left -= demand[best]
+            last = self.pool.pop()
+            if best < len(self.pool):
+                self.pool[best], demand[best] = last, demand[len(self.pool)]
+            if self.left[0] >= 1 and self.left[1] >= 1:
+                return
+        elif self.cut and self.left[2] >= 1:
+            best = int(np.argmax(score))
+            head, rest = self.pool[best].split(self._fitting(self.pool[best], int(self.left[0]), int(self.left[2])))
+            self.pool[best], demand[best] = rest, (rest.length, 1, rest.loss_tokens())
+            self.open.append(head)
+        yield self.open
+        self.open, self.left = [], self.cap.copy()
 
     @staticmethod
     def _powers_of_two(sequence: list[Piece]) -> Iterator[list[Piece]]:
@@ -184,8 +191,6 @@ def pack_examples(examples: DataFrame, limits: Limits, count_loss: Callable[[dic
         def pieces():
             for batch in batches:
                 for row in batch.to_pylist():
-                    if row["n_loss"] > limits.loss_tokens:
-                        raise ValueError(f"an example of {row['n_loss']} loss-bearing tokens exceeds the limit of {limits.loss_tokens}")
                     yield _Counted(row["example_id"], 0, row["n_tokens"], row["n_tokens"], marked=row["n_loss"])
 
         for batch in _emit(pack_pieces(pieces(), limits, cut=False), TaskContext.get().partitionId()):
