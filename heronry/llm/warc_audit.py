@@ -1,29 +1,32 @@
 """WARC fixity audit by Merkle trees over ordered offset ranges.
 
-Pages become WARC resource records in archives of `per_archive` consecutive page ids, ordered by (page_id, SHA-256 of the record).
-A tree's leaves are record hashes; a node covers `fanout` consecutive children and hashes its offset range and their hashes; an
-archive has one root. Two replicas' roots are compared first; only children of differing nodes are compared next, down to the
-records, so sound archives cost one row each.
+Pages become WARC resource records in archives of `PER_ARCHIVE` consecutive page ids; an archive with many distinct records is split
+into parts of about `PER_PART` by record hash, as the sound replica counts them, so no page makes an unbounded group. A part's records
+are ordered by (page_id, url, SHA-256 of the record), and their offsets follow from that order.
+
+A tree's leaves are record hashes; a node covers the offset range of `SPAN` consecutive page ids and hashes the length and the ordered
+records of its range; a part's root hashes its nodes. Two replicas' roots are compared first, then the nodes of differing parts, then
+the records of differing nodes, so sound parts cost one row each. Nodes are told by their page ids and hash the lengths of ranges, not
+where they begin: a missing or surplus record changes its own node alone, not all that stand behind it. Records of differing nodes
+are matched by content; what is left over on both sides at one page_id and url is corrupt, the rest is missing or surplus.
 
 Records travel as hash, length and id: their bytes stay in the task that reads them. Identical records of one page are counted
-at the map side and stored once per archive (`copies`), so a page that repeats many times makes no large group. Null page_id
-goes to archive -1 split by record hash; null url or html counts as empty; empty tables give an empty result; other columns are
-ignored.
+at the map side and stored once (`copies`). Null page_id goes to one of 1024 negative archives by url, which a fault of the html does
+not change; null url or html counts as empty; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.llm.common import table
 from heronry.scratch import persisted
 
-PER_ARCHIVE = 256
-FANOUT = 16
-LEVELS = 3  # records, ranges of FANOUT records, ranges of FANOUT ranges, root
+PER_ARCHIVE, SPAN = 256, 16
+PER_PART = 4096
+PAGE = ["archive", "page_id", "url_md5"]
+RECORD = [*PAGE, "length", "digest"]
 
 
 def record_text(url: Column, html: Column) -> Column:
@@ -39,59 +42,70 @@ def record_text(url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+def _number(hexadecimal: Column) -> Column:
+    """The first eight hexadecimal digits as a number."""
+    return F.conv(F.substring(hexadecimal, 1, 8), 16, 10).cast("long")
+
+
 def records(pages: DataFrame, html: Column | None = None) -> DataFrame:
-    """archive, page_id, copies, offset, length, digest of every distinct record."""
+    """archive, node, page_id, url_md5, length, digest, copies of every distinct record."""
     record = record_text(F.col("url"), F.col("html") if html is None else html)
-    hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"))
-    distinct = hashed.groupBy("page_id", "length", "digest").agg(F.count("*").alias("copies"))
-    archive = F.coalesce(F.floor(F.col("page_id") / PER_ARCHIVE), -1 - F.pmod(F.xxhash64("digest"), F.lit(1024)))
-    order = Window.partitionBy("archive").orderBy("page_id", "digest")
-    return (
-        distinct.withColumn("archive", archive.cast("long"))
-        .withColumn("place", F.row_number().over(order) - 1)
-        .withColumn("offset", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).cast("long"))
-    )
+    url = F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary"))
+    hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url_md5"), F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"))
+    distinct = hashed.groupBy("page_id", "url_md5", "length", "digest").agg(F.count("*").alias("copies"))
+    archive = F.coalesce(F.floor(F.col("page_id") / PER_ARCHIVE), -1 - _number(F.col("url_md5")) % 1024).cast("long")
+    node = F.coalesce(F.expr(f"pmod(page_id, {PER_ARCHIVE}) DIV {SPAN}"), F.lit(0)).cast("long")
+    return distinct.select(archive.alias("archive"), node.alias("node"), *RECORD[1:], "copies")
+
+
+def stored(recs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The records with part and offset."""
+    placed = recs.join(parts, "archive", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(_number(F.col("digest")) % F.col("parts")).cast("long")).drop("parts")
+    order = Window.partitionBy("archive", "part").orderBy("page_id", "url_md5", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("offset", (F.sum("length").over(order) - F.col("length")).cast("long"))
+
+
+def nodes(recs: DataFrame) -> DataFrame:
+    """archive, part, node, start, stop (its offset range) and hash."""
+    leaves = F.array_sort(F.collect_list(F.struct("page_id", "url_md5", "digest")))
+    ranges = recs.groupBy("archive", "part", "node").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sum("length").alias("bytes"), leaves.alias("leaves"))
+    text = F.concat_ws("|", F.col("bytes"), F.concat_ws(",", F.transform("leaves", lambda x: F.concat_ws(" ", x.page_id, x.url_md5, x.digest))))
+    return ranges.select("archive", "part", "node", "start", "stop", F.sha2(text.cast("binary"), 256).alias("hash"))
+
+
+def roots(ranges: DataFrame) -> DataFrame:
+    """archive, part and the hash over its nodes."""
+    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    return ranges.groupBy("archive", "part").agg(F.sha2(F.concat_ws(",", F.transform(children, lambda x: F.concat_ws(" ", x.node, x.hash))).cast("binary"), 256).alias("hash"))
 
 
-def tree(recs: DataFrame) -> DataFrame:
-    """Nodes (archive, level, node, start, stop, hash); level 0 are records, level LEVELS the root."""
-    levels = [recs.select("archive", F.lit(0).alias("level"), F.col("place").cast("long").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), F.col("digest").alias("hash"))]
-    for level in range(1, LEVELS + 1):
-        below = levels[-1]
-        parent = F.floor(F.col("node") / FANOUT) if level < LEVELS else F.lit(0)
-        children = F.array_sort(F.collect_list(F.struct("node", "start", "stop", "hash")))
-        node = below.groupBy("archive", parent.cast("long").alias("parent")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), children.alias("children"))
-        text = F.concat_ws("|", F.col("start"), F.col("stop"), F.concat_ws(",", F.col("children.hash")))
-        levels.append(node.select("archive", F.lit(level).alias("level"), F.col("parent").alias("node"), "start", "stop", F.sha2(text.cast("binary"), 256).alias("hash")))
-    return reduce(DataFrame.unionByName, levels)
-
-
-def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Differing records of two trees: archive, node, start and stop in the left replica (null: missing there), both hashes."""
-    sides = {"a": left, "b": right}
-    at = lambda level: [t.filter(F.col("level") == level).select("archive", "node", *[F.col(c).alias(f"{c}_{k}") for c in ("start", "stop", "hash")]) for k, t in sides.items()]
-    suspects = None
-    for level in range(LEVELS, -1, -1):
-        a, b = at(level)
-        if suspects is not None:
-            parent = F.floor(F.col("node") / FANOUT).cast("long") if level < LEVELS - 1 else F.lit(0).cast("long")
-            keep = lambda t: t.withColumn("parent", parent).join(suspects, ["archive", "parent"], "left_semi").drop("parent")  # noqa: B023, E731
-            a, b = keep(a), keep(b)
-        differ = a.join(b, ["archive", "node"], "full_outer").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-        suspects = differ.select("archive", F.col("node").alias("parent")) if level else None
-    return differ
+def _differing(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Keys whose hash differs between two replicas or stands in one alone."""
+    hashes = lambda t, side: t.select(*key, F.col("hash").alias(side))
+    return hashes(left, "a").join(hashes(right, "b"), key, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select(*key)
 
 
 def located(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Corrupt, missing and surplus records by page, from two replicas' record tables."""
-    a, b = persisted(left, "records-a"), persisted(right, "records-b")
-    trees = [persisted(tree(r), "tree") for r in (a, b)]
-    bad = audit(*trees).select("archive", F.col("node").alias("place"))
-    page = lambda r, k: r.join(bad, ["archive", "place"], "left_semi").select("archive", "place", *[F.col(c).alias(f"{c}_{k}") for c in ("page_id", "offset", "length", "copies", "digest")])
-    both = page(a, "a").join(page(b, "b"), ["archive", "place"], "full_outer")
+    """Corrupt, missing and surplus records, from two replicas' record tables (the first is the sound one)."""
+    parts = left.groupBy("archive").agg(F.ceil(F.count("*") / PER_PART).alias("parts")).filter("parts > 1")
+    a, b = (persisted(stored(side, parts), "records") for side in (left, right))
+    ranges = [persisted(nodes(side), "nodes") for side in (a, b)]
+    parts = _differing(*map(roots, ranges), ["archive", "part"])
+    bad = _differing(*[r.join(parts, ["archive", "part"], "left_semi") for r in ranges], ["archive", "part", "node"])
+    suspects = [persisted(side.join(bad, ["archive", "part", "node"], "left_semi"), "suspects") for side in (a, b)]
+
+    def alone(side: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        """Records of one replica that the other lacks, numbered within their page and url."""
+        known = other.select(*[F.col(c).alias(f"other_{c}") for c in RECORD])
+        same = [F.col(c).eqNullSafe(F.col(f"other_{c}")) for c in RECORD]
+        left_over = side.join(known, same, "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE).orderBy("digest")))
+        return left_over.select(*[F.col(c).alias(f"{c}_{name}") for c in ("part", *RECORD, "offset", "copies", "nth")])
+
+    x, y = alone(*suspects, "a"), alone(*suspects[::-1], "b")
+    both = x.join(y, [F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in (*PAGE, "nth")], "full_outer")
     status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "surplus").otherwise("corrupt")
-    pick = lambda c: F.coalesce(f"{c}_a", f"{c}_b").alias(c)
-    return both.select("archive", pick("page_id"), pick("offset"), pick("length"), pick("copies"), F.col("digest_a").alias("expected_sha256"), F.col("digest_b").alias("found_sha256"), status.alias("status"))
+    pick = lambda c: F.when(F.col("digest_a").isNull(), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c)
+    return both.select(pick("archive"), pick("part"), pick("page_id"), pick("offset"), pick("length"), pick("copies"), F.col("digest_a").alias("expected_sha256"), F.col("digest_b").alias("found_sha256"), status.alias("status"))
 
 
 def faulty(html: Column, url: Column) -> Column:
@@ -112,19 +126,26 @@ WITH r AS (
          CASE WHEN substr(sha256(coalesce(url, '')), 1, 1) = '0' AND length(html) > 0 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END AS bad
   FROM pages),
 t AS (
-  SELECT page_id, v.kind, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+  SELECT page_id, md5(coalesce(url, '')) AS url_md5, v.kind, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(v.body)::VARCHAR
     || chr(13) || chr(10) || chr(13) || chr(10) || v.body || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM r, LATERAL (SELECT 'a' AS kind, good AS body UNION ALL SELECT 'b', bad) v),
 d AS (
-  SELECT kind, floor(page_id / 256.0)::BIGINT AS archive, page_id, strlen(record)::BIGINT AS length, sha256(record) AS digest, count(*)::BIGINT AS copies
+  SELECT kind, coalesce(floor(page_id / 256.0)::BIGINT, -1 - ('0x' || substr(url_md5, 1, 8))::BIGINT % 1024) AS archive, page_id, url_md5,
+         strlen(record)::BIGINT AS length, sha256(record) AS digest, count(*)::BIGINT AS copies
   FROM t GROUP BY ALL),
+n AS (SELECT archive, ceil(count(*) / 4096.0)::BIGINT AS parts FROM d WHERE kind = 'a' GROUP BY archive),
+p AS (SELECT d.*, coalesce(('0x' || substr(digest, 1, 8))::BIGINT % parts, 0) AS part FROM d LEFT JOIN n USING (archive)),
 o AS (
-  SELECT *, row_number() OVER w - 1 AS place, (sum(length) OVER w - length)::BIGINT AS "offset"
-  FROM d WINDOW w AS (PARTITION BY kind, archive ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING))
-SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a."offset", b."offset") AS "offset",
+  SELECT *, (sum(length) OVER w - length)::BIGINT AS "offset"
+  FROM p WINDOW w AS (PARTITION BY kind, archive, part ORDER BY page_id NULLS FIRST, url_md5, digest ROWS UNBOUNDED PRECEDING)),
+u AS (
+  SELECT *, row_number() OVER (PARTITION BY kind, archive, page_id, url_md5 ORDER BY digest) AS nth FROM o x
+  WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.kind <> x.kind AND y.archive = x.archive AND y.page_id IS NOT DISTINCT FROM x.page_id
+    AND y.url_md5 = x.url_md5 AND y.length = x.length AND y.digest = x.digest))
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.part, b.part) AS part, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a."offset", b."offset") AS "offset",
        coalesce(a.length, b.length) AS length, coalesce(a.copies, b.copies) AS copies, a.digest AS expected_sha256, b.digest AS found_sha256,
        CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'surplus' ELSE 'corrupt' END AS status
-FROM (SELECT * FROM o WHERE kind = 'a') a FULL JOIN (SELECT * FROM o WHERE kind = 'b') b ON a.archive = b.archive AND a.place = b.place
-WHERE a.digest IS DISTINCT FROM b.digest
+FROM (SELECT * FROM u WHERE kind = 'a') a FULL JOIN (SELECT * FROM u WHERE kind = 'b') b
+  ON a.archive = b.archive AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.url_md5 = b.url_md5 AND a.nth = b.nth
 """
