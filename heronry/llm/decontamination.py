@@ -15,7 +15,6 @@ ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
@@ -95,7 +94,19 @@ class Item:
     item_id: int
     values: np.ndarray
     kinds: np.ndarray
-    total: int  # windows that count
+    windows: np.ndarray  # hashes of the windows that count, and their positions
+    positions: np.ndarray
+
+    @property
+    def total(self) -> int:
+        return len(self.positions)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) for all values of all ranges low .. high - 1."""
+    count = high - low
+    number = np.repeat(np.arange(len(low)), count)
+    return number, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[number]
 
 
 class Block:
@@ -104,21 +115,27 @@ class Block:
     def __init__(self, rows: list[tuple[int, str]]):
         templates = Templates([(text or "").encode() for _, text in rows])
         bounds = np.append(templates.first, len(templates.values))
-        self.items, hashes, where = [], [], []
+        self.items, hashes, owners = [], [], []
         for k, (item_id, _) in enumerate(rows):
             a, b = bounds[k], bounds[k + 1]
             at = a + np.flatnonzero(templates.solid[a : max(a, b - WIDTH + 1)])
-            self.items.append(Item(item_id, templates.values[a:b], templates.kinds[a:b], len(np.unique(at))))
+            order = np.argsort(templates.windows[at], kind="stable")
+            self.items.append(Item(item_id, templates.values[a:b], templates.kinds[a:b], templates.windows[at][order], (at - a)[order]))
             hashes.append(templates.windows[at])
-            where.append(np.stack([np.full(len(at), k), at - a], 1))
-        hashes, where = np.concatenate(hashes), np.concatenate(where)
+            owners.append(np.full(len(at), k))
+        hashes, owners = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.where = hashes[order], where[order]
+        self.hashes, self.owners = hashes[order], owners[order]
+        self.totals = np.array([item.total for item in self.items])
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def leaks(self, texts: list[bytes], containment: float):
-        """(number of the text, item, matched windows, slots, changed slots, first word, last word) of every leak."""
+    def leaks(self, texts: list[bytes], containment: float, most: int = 1_000_000):
+        """(number of the text, item, matched windows, slots, changed slots, first word, last word) of every leak.
+
+        Which items can be leaked is counted from each text's distinct windows, about `most` (window, item) pairs at a time; so a
+        window that a text repeats or that many items share costs each text and item once.
+        """
         if not len(self.hashes):
             return
         templates = Templates(texts)
@@ -126,48 +143,66 @@ class Block:
         found = templates.windows[near]
         low, high = np.searchsorted(self.hashes, found, "left"), np.searchsorted(self.hashes, found, "right")
         hit = high > low
-        near, low, high = near[hit], low[hit], high[hit]
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for at, a, b in zip(near.tolist(), low.tolist(), high.tolist(), strict=True):
-            owner = int(templates.owner[at])
-            for k, position in self.where[a:b].tolist():
-                spans[owner, k].append((at - int(templates.first[owner]), position))
-        for (owner, k), pairs in spans.items():
-            if row := self._judge(templates, owner, self.items[k], pairs, containment):
-                yield (owner, *row)
-
-    def _judge(self, templates: Templates, owner: int, item: Item, pairs: list[tuple[int, int]], containment: float):
-        shift = np.array([at - position for at, position in pairs])
-        order = np.argsort(shift, kind="stable")
-        sorted_shift = shift[order]
+        near, low, high, found = near[hit], low[hit], high[hit], found[hit]
+        if not len(near):
+            return
+        owner = templates.owner[near]
+        order = np.lexsort((near, found, owner))
+        near, low, high, found, owner = near[order], low[order], high[order], found[order], owner[order]
+        first = np.r_[True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])]
+        u_low, u_high, u_owner = low[first], high[first], owner[first]
+        ends = np.r_[np.flatnonzero(u_owner[1:] != u_owner[:-1]) + 1, len(u_owner)]
+        size, start = np.concatenate([[0], np.cumsum(u_high - u_low)]), 0
+        while start < len(u_owner):  # whole texts, and at least one
+            fitting = ends[(ends > start) & (size[ends] - size[start] <= most)]
+            stop = fitting[-1] if len(fitting) else ends[np.searchsorted(ends, start, side="right")]
+            number, entry = _ranges(u_low[start:stop], u_high[start:stop])
+            pairs, counts = np.unique(u_owner[start:stop][number].astype(np.int64) * len(self.items) + self.owners[entry], return_counts=True)
+            able = counts >= np.ceil(containment * self.totals[pairs % len(self.items)] - 1e-9)
+            for pair in pairs[able].tolist():
+                text, k = divmod(pair, len(self.items))
+                part = slice(*np.searchsorted(owner, [text, text + 1]))
+                if row := self._judge(templates, text, self.items[k], near[part], found[part], containment):
+                    yield (text, *row)
+            start = stop
+
+    def _judge(self, templates: Templates, owner: int, item: Item, near: np.ndarray, found: np.ndarray, containment: float):
+        """near, found: places and hashes of the text's windows, by hash."""
+        low, high = np.searchsorted(item.windows, found, "left"), np.searchsorted(item.windows, found, "right")
+        number, entry = _ranges(low, high)
+        at, position = near[number] - int(templates.first[owner]), item.positions[entry]
+        order = np.lexsort((position, at - position))
+        at, position = at[order], position[order]
+        shift = at - position
         # the alignment with most matched windows: shifts within DRIFT of one another
-        best, reach = None, np.searchsorted(sorted_shift, sorted_shift + DRIFT, side="right")
-        least = int(np.ceil(containment * item.total - 1e-9))
-        for a in np.flatnonzero(np.r_[True, sorted_shift[1:] != sorted_shift[:-1]]):
-            chosen = order[a : reach[a]]
-            if best is not None and len(chosen) <= best[0] or len(chosen) < least:
+        best, reach = None, np.searchsorted(shift, shift + DRIFT, side="right")
+        least, whole = int(np.ceil(containment * item.total - 1e-9)), len(np.unique(position))
+        begins = np.flatnonzero(np.r_[True, shift[1:] != shift[:-1]])
+        for a in begins[reach[begins] - begins >= least].tolist():
+            if best is not None and reach[a] - a <= best[0]:
                 continue
-            matched = len({pairs[c][1] for c in chosen})
+            matched = len(np.unique(position[a : reach[a]]))
             if matched >= least and (best is None or matched > best[0]):
-                best = (matched, chosen)
+                best = (matched, slice(a, reach[a]))
+                if matched == whole:
+                    break
         if best is None:
             return None
         base, slots = int(templates.first[owner]), {}
-        for c in best[1]:
-            at, position = pairs[c]
+        places, positions = at[best[1]], position[best[1]]
+        for place, p in zip(places.tolist(), positions.tolist(), strict=True):
             for j in range(WIDTH):
-                if item.kinds[position + j]:
-                    slots.setdefault((position + j), templates.values[base + at + j])
+                if item.kinds[p + j]:
+                    slots.setdefault((p + j), templates.values[base + place + j])
         bound: dict[tuple[int, int], int] = {}
         clashes = changed = 0
-        for position, value in slots.items():
-            key = (int(item.kinds[position]), int(item.values[position]))
+        for p, value in slots.items():
+            key = (int(item.kinds[p]), int(item.values[p]))
             clashes += bound.setdefault(key, int(value)) != int(value)
-            changed += int(item.values[position]) != int(value)
+            changed += int(item.values[p]) != int(value)
         if clashes * 5 > len(slots):
             return None
-        places = [pairs[c][0] for c in best[1]]
-        return item, best[0], len(slots), changed, min(places), max(places) + WIDTH - 1
+        return item, best[0], len(slots), changed, int(places.min()), int(places.max()) + WIDTH - 1
 
 
 def blocks(benchmark: DataFrame, block_words: int = 500_000):
