@@ -277,17 +277,25 @@ def read_member(source, info: zipfile.ZipInfo, tries: int) -> tuple[bytes | None
 # --- texts as pictures -----------------------------------------------------------------------------------------------------
 
 
-def write_pictures(docs: DataFrame, path: str) -> None:
+def write_pictures(docs: DataFrame, path: str, most: int = 4 << 20) -> None:
     """Store every text as a picture; a member's name holds doc_id (empty: null) and the text's bytes."""
 
+    def members(names, media):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], names=["member", "media"])
+
     def encode(batches):
         for batch in batches:
-            names, media = [], []
+            names, media, held = [], [], 0
             for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                data = text.as_py().encode()
+                data = text.as_buffer().to_pybytes()
                 names.append(f"{'' if key.as_py() is None else key.as_py()}_{len(data)}.png")
                 media.append(encode_png(pad64(data)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(media, pa.binary())], names=["member", "media"])
+                held += len(media[-1])
+                if held >= most:  # a batch of texts leaves in parts of bounded bytes
+                    yield members(names, media)
+                    names, media, held = [], [], 0
+            if names:
+                yield members(names, media)
 
     docs.sparkSession.dataSource.register(ArchiveSource)
     id_and_text(docs).mapInArrow(encode, "member string, media binary").write.format("heronry_archive").mode("append").save(path)

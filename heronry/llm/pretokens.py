@@ -49,10 +49,14 @@ def byte_letters() -> dict[int, int]:
 LETTERS = byte_letters()
 
 
+#: Characters of a chunk that is kept; together with the number of chunks it bounds a cache's bytes.
+LONGEST = 40
+
+
 class ChunkCache(dict):
-    """chunk -> its ids as little-endian uint32 bytes; misses are encoded and kept, up to `cap` chunks beside the shared table."""
+    """chunk -> its ids as little-endian uint32 bytes; misses are encoded, and kept up to `cap` chunks of at most LONGEST characters beside the shared table."""
 
-    def __init__(self, path: str, frequent: dict[str, bytes], cap: int = 400_000):
+    def __init__(self, path: str, frequent: dict[str, bytes], cap: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__(frequent)
@@ -72,7 +76,8 @@ class ChunkCache(dict):
         else:
             letters = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(LETTERS)
             ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        self[chunk] = ids
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -100,7 +105,7 @@ def frequent_chunks(docs: DataFrame, path: str, sample_rows: int = 1000, sample_
     """Broadcast table of frequent pre-tokens.
 
     It is filled from at most `sample_rows` rows of at most `sample_chars` characters and holds at most `size` entries of at
-    most 40 characters, so its size has a fixed bound. It is a cache: what is missing from it is encoded where it occurs, so
+    most LONGEST characters, so its size has a fixed bound. It is a cache: what is missing from it is encoded where it occurs, so
     it never changes a result.
     """
     spark = docs.sparkSession
@@ -108,6 +113,6 @@ def frequent_chunks(docs: DataFrame, path: str, sample_rows: int = 1000, sample_
     counts: Counter[str] = Counter()
     for row in rows:
         if is_plain(row.text):
-            counts.update(x for x in row.text.lower().split() if len(x) <= 40)
+            counts.update(x for x in row.text.lower().split() if len(x) <= LONGEST)
     cache = ChunkCache(path, {})
     return spark.sparkContext.broadcast({chunk: cache[chunk] for chunk, _ in counts.most_common(size)})

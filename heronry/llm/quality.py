@@ -7,7 +7,7 @@ Platt scaling on rows held back from the fit turns margins into probabilities.
 
 The fit uses at most `max_rows` labelled rows (the documented bound), chosen by hash; scoring runs over all rows in place, without
 a shuffle. Null text counts as empty; null doc_id or null labels are never learnt from; several labels of one doc_id count as the
-largest; repeated rows are scored each; without labels of both classes every score is 0.5; other columns of the input are ignored.
+largest, and of several texts one is learnt from; repeated rows are scored each; without labels of both classes every score is 0.5; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -151,6 +151,12 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
+def one_text_each(sample: DataFrame) -> DataFrame:
+    """doc_id, text, label with one row a doc_id, though doc_ids repeat: of several texts the one with the smallest hash."""
+    least = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
+    return least.select("doc_id", "x.text", "label")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | None:
     """Fit on at most `max_rows` labelled rows outside the held-out fold."""
     docs = id_and_text(docs)
@@ -164,15 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | N
             rows = [indicators.of(t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "found"])
 
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(describe, "doc_id long, label int, found binary")
+    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id")).mapInArrow(describe, "doc_id long, label int, found binary")
     got = sample.toArrow().sort_by("doc_id")
-    # repeated rows of one document could exceed the bound on the driver only with repeated doc_ids: they are folded here
-    rows, y, last = [], [], object()
-    for key, label, found in zip(got["doc_id"], got["label"], got["found"], strict=True):
-        if key != last:
-            rows.append(np.frombuffer(found.as_py(), np.int32).astype(np.int64))
-            y.append(label.as_py())
-        last = key
+    rows, y = [np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in got["found"]], got["label"].to_pylist()
     return fit(rows, np.array(y))
 
 

@@ -9,7 +9,7 @@ that mark toxic rows (highest smoothed log ratio) is cut at its terciles, giving
 
 The fit uses at most `max_rows` labelled rows (the documented bound), chosen by hash. Scoring runs over all rows and whole texts in
 place. Null text counts as empty; null doc_id or null labels are never learnt from; several labels of one doc_id count as the
-largest; repeated rows are scored each; without labels of both classes severity and score are 0; other columns are ignored.
+largest, and of several texts one is learnt from; repeated rows are scored each; without labels of both classes severity and score are 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.llm.common import id_and_text, table
+from heronry.llm.quality import one_text_each
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 3
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Severity
             rows = [json.dumps(Counter(WORD.findall(t.as_py().lower())), ensure_ascii=False) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.string())], names=["doc_id", "label", "counts"])
 
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(describe, "doc_id long, label int, counts string")
+    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id")).mapInArrow(describe, "doc_id long, label int, counts string")
     got = sample.toArrow().sort_by("doc_id")
     # only features of two sampled rows at least can enter the vocabulary; the others are let go row by row
     seen, often = set(), set()
@@ -140,12 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Severity
         words = features(json.loads(c.as_py())).keys()
         often.update(w for w in words if w in seen)
         seen.update(words)
-    counts, toxic, last = [], [], object()
-    for key, label, c in zip(got["doc_id"], got["label"], got["counts"], strict=True):
-        if key != last:
-            counts.append({w: n for w, n in features(json.loads(c.as_py())).items() if w in often})
-            toxic.append(label.as_py())
-        last = key
+    counts = [{w: n for w, n in features(json.loads(c.as_py())).items() if w in often} for c in got["counts"]]
+    toxic = got["label"].to_pylist()
     return fit(counts, np.array(toxic))
 
 
