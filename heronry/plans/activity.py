@@ -38,23 +38,23 @@ both("agg_51_peak_bucket", "WITH n AS (SELECT CAST(date_trunc('WEEK', ts) AS DAT
 
 # --- joins -------------------------------------------------------------------------------------------------------------------
 
-both("joi_02_missing_parent", "SELECT doc_id FROM {labels} l WHERE NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = l.doc_id) UNION ALL SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey)", tables="labels documents orders customer")
+both("joi_02_missing_parent", "SELECT event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)", tables="labels events")
 both("joi_04_bidirectional", "SELECT nation, count(DISTINCT other) AS neighbours FROM (SELECT a.n_nationkey AS nation, b.n_nationkey AS other FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey UNION ALL SELECT b.n_nationkey AS nation, a.n_nationkey AS other FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey) p GROUP BY nation", tables="nation")
-both("joi_09_newer_wins", "SELECT coalesce(i.doc_id, s.doc_id) AS doc_id, coalesce(i.v, s.v) AS v FROM (SELECT doc_id, n_chars AS v FROM {documents} WHERE doc_id % 3 <> 0) s FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS v FROM {labels}) i ON s.doc_id = i.doc_id", tables="documents labels")
-both("joi_10_fingerprint", "SELECT a.doc_id, substring(sha2(a.text, 256), 1, 32) AS fingerprint FROM {documents} a JOIN {labels} l ON a.doc_id = l.doc_id AND substring(sha2(a.text, 256), 1, 1) < '8'", "SELECT a.doc_id, substring(sha256(a.text), 1, 32) AS fingerprint FROM {documents} a JOIN {labels} l ON a.doc_id = l.doc_id AND substring(sha256(a.text), 1, 1) < '8'", "documents labels")
+both("joi_09_newer_wins", "SELECT coalesce(i.doc_id, s.doc_id) AS doc_id, coalesce(i.v, s.v) AS v FROM (SELECT doc_id, n_chars AS v FROM {documents}) s FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS v FROM {labels}) i ON s.doc_id = i.doc_id", tables="documents labels")
+both("joi_10_fingerprint", "SELECT a.doc_id, b.doc_id AS first_id FROM (SELECT doc_id, substring(sha2(text, 256), 1, 32) AS f FROM {documents}) a JOIN (SELECT substring(sha2(text, 256), 1, 32) AS f, min(doc_id) AS doc_id FROM {documents} GROUP BY 1) b ON a.f = b.f", "SELECT a.doc_id, b.doc_id AS first_id FROM (SELECT doc_id, substring(sha256(text), 1, 32) AS f FROM {documents}) a JOIN (SELECT substring(sha256(text), 1, 32) AS f, min(doc_id) AS doc_id FROM {documents} GROUP BY 1) b ON a.f = b.f", "documents")
 both("joi_15_anti_pair", "WITH p AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b FROM {customer} JOIN {supplier} ON c_custkey = s_suppkey) SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM {nation} x JOIN {nation} y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey LEFT JOIN p ON p.a = x.n_nationkey AND p.b = y.n_nationkey WHERE p.a IS NULL", tables="customer supplier nation")
 both("joi_17_latest_of_two", "WITH a AS (SELECT user_id, max(event_id) AS discussed FROM {events} WHERE event_type = 'view' GROUP BY user_id), b AS (SELECT user_id, max(event_id) AS voted FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN voted IS NULL OR discussed > voted THEN 'discuss' ELSE 'vote' END AS stage FROM a FULL JOIN b ON a.user_id = b.user_id", tables="events")
 both("joi_20_left_null", "SELECT c_custkey, n FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey", tables="customer orders")
-both("joi_21_lower_key", "SELECT n_name, r_name FROM {nation} JOIN {region} ON lower(substring(n_name, 1, 1)) = lower(substring(r_name, 1, 1))", tables="nation region")
+both("joi_21_lower_key", "SELECT n_name, r_name FROM {nation} JOIN {region} ON lower(n_name) = lower(concat('Nation_', r_regionkey))", tables="nation region")
 both("joi_24_top_three", "WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y, abs(a.p_retailprice - b.p_retailprice) AS gap FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY gap, y) AS rn FROM p) SELECT x, y, round(gap, 4) AS gap FROM r WHERE rn <= 3", tables="part")
 
 # --- sets --------------------------------------------------------------------------------------------------------------------
 
 both("set_04_keep_first", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {documents}) t WHERE rn = 1", tables="documents")
 both("set_07_equal_ids", "SELECT count(*) = 0 AS equal FROM ((SELECT o_orderkey FROM {orders} EXCEPT SELECT l_orderkey FROM {lineitem}) UNION ALL (SELECT l_orderkey FROM {lineitem} EXCEPT SELECT o_orderkey FROM {orders})) d", tables="orders lineitem")
-both("set_08_unseen", "SELECT event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM {events} WHERE ts < TIMESTAMP '2024-01-10 00:00:00') s WHERE s.user_id = e.user_id)", tables="events")
+both("set_08_unseen", "SELECT event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup' AND event_id % 7 = 0) s WHERE s.user_id = e.user_id)", tables="events")
 both("set_09_unique_both", "SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS a, count(*) OVER (PARTITION BY l_partkey) AS b FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}) d) c WHERE a = 1 AND b <= 30", tables="lineitem")
-both("set_12_stale_vectors", "SELECT vec_id FROM {embeddings} EXCEPT SELECT doc_id FROM {documents} WHERE n_chars > 500", tables="embeddings documents")
+both("set_12_stale_vectors", "SELECT vec_id FROM {embeddings} EXCEPT SELECT doc_id FROM {documents}", tables="embeddings documents")
 
 # --- filters, orders, dates, text --------------------------------------------------------------------------------------------
 
@@ -62,7 +62,7 @@ both("fil_03_status_groups", "SELECT e.event_id FROM {events} e JOIN (SELECT use
 both("fil_04_closed_window", "SELECT event_id FROM {events} WHERE ts BETWEEN TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-30 00:00:00'", tables="events")
 both("fil_14_suppressed", "SELECT c_custkey, CASE WHEN substring(sha2(c_name, 256), 1, 1) = '0' THEN NULL ELSE c_name END AS shown FROM {customer}", "SELECT c_custkey, CASE WHEN substring(sha256(c_name), 1, 1) = '0' THEN NULL ELSE c_name END AS shown FROM {customer}", "customer")
 both("fil_20_invariants", "SELECT conv_id, count(*) <> count(DISTINCT turn) AS repeated, min(turn) <> 0 OR max(turn) <> count(*) - 1 AS gaps FROM {conversations} GROUP BY conv_id", tables="conversations")
-both("srt_06_timeline", "SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS BIGINT) AS place FROM {events} WHERE user_id < 5", tables="events")
+both("srt_06_timeline", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS BIGINT) AS place FROM {events}", tables="events")
 both("srt_12_person_merge", "SELECT c_custkey, CAST(place AS BIGINT) AS place FROM (SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_name LIKE '%1' THEN 0 ELSE 1 END, c_name, c_custkey) AS place FROM {customer} WHERE c_name LIKE '%1%') t WHERE place <= 3", tables="customer")
 both("dat_06_bucket_bounds", "SELECT DISTINCT CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS first_day, CAST(add_months(date_trunc('MONTH', o_orderdate), 1) AS DATE) AS end_day FROM {orders}", "SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS first_day, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS end_day FROM {orders}", "orders")
 both("dat_09_month_fraction", "SELECT event_id, round(CAST(unix_micros(ts) - unix_micros(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE) / (31 * 86400e6), 6) AS elapsed, 31 - day(ts) AS remaining FROM {events}", "SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::DOUBLE / (31 * 86400e6), 6) AS elapsed, (31 - day(ts))::INT AS remaining FROM {events}", "events")
@@ -71,5 +71,5 @@ both("dat_14_day_number", "SELECT event_id, CAST(unix_micros(ts) AS BIGINT) DIV
 both("mat_02_idf", "WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {documents}), f AS (SELECT source, CAST(count(*) AS DOUBLE) AS df FROM {documents} GROUP BY source) SELECT source, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM f CROSS JOIN n", tables="documents")
 both("mat_10_projection", "WITH s AS (SELECT event_type, sum(value) AS spent FROM {events} WHERE ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type) SELECT event_type, round(spent * 31.0 / 19.0, 3) AS projected FROM s", tables="events")
 both("mat_14_backoff", "SELECT user_id, least(24 * CAST(power(2.0, least(failures, 10)) AS BIGINT), 720) AS hours FROM (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures FROM {events} GROUP BY user_id) f", tables="events")
-both("str_22_blurb", "SELECT doc_id, CASE WHEN length(text) <= 180 THEN text ELSE regexp_extract(substring(text, 1, 180), '^(.*) [^ ]*$', 1) END AS blurb FROM {documents} WHERE text IS NOT NULL AND instr(text, '\n') = 0", "SELECT doc_id, CASE WHEN length(text) <= 180 THEN text ELSE regexp_extract(substring(text, 1, 180), '^(.*) [^ ]*$', 1) END AS blurb FROM {documents} WHERE text IS NOT NULL AND instr(text, chr(10)) = 0", "documents")
+both("str_22_blurb", "SELECT doc_id, CASE WHEN length(text) <= 180 THEN text ELSE regexp_extract(substring(text, 1, 180), '(?s)^(.*) [^ ]*$', 1) END AS blurb FROM {documents} WHERE text IS NOT NULL", tables="documents")
 both("jsn_07_refs", "SELECT doc_id, base64(encode(concat(source, ':', CAST(doc_id AS STRING)), 'UTF-8')) AS ref FROM {documents}", "SELECT doc_id, base64(encode(concat(source, ':', CAST(doc_id AS VARCHAR)))) AS ref FROM {documents}", "documents")

@@ -318,7 +318,7 @@ both("set_intersect", "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FR
 both("joi_05_self_pairs", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey", tables="supplier")
 both("joi_06_semi_or", "SELECT c_custkey FROM {customer} LEFT SEMI JOIN (SELECT o_custkey AS k FROM {orders} UNION SELECT s_suppkey FROM {supplier}) u ON c_custkey = u.k", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} UNION SELECT s_suppkey FROM {supplier})", "customer orders supplier")
 both("joi_01_profile_join", "SELECT n_name, r_name, count(*) AS customers FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY n_name, r_name", tables="customer nation region")
-both("joi_14_unique_names", "WITH u AS (SELECT n_regionkey, min(n_name) AS n_name FROM {nation} GROUP BY n_regionkey, substring(n_name, 1, 1) HAVING count(*) = 1) SELECT n_name, r_name FROM u JOIN {region} ON n_regionkey = r_regionkey", tables="nation region")
+both("joi_14_unique_names", "WITH u AS (SELECT n_regionkey, min(n_name) AS n_name FROM {nation} GROUP BY n_regionkey, substring(n_name, 8, 1) HAVING count(*) = 1) SELECT n_name, r_name FROM u JOIN {region} ON n_regionkey = r_regionkey", tables="nation region")
 both("fil_11_browse", "SELECT doc_id FROM {documents} WHERE lang = 'en' AND instr(lower(text), 'license') > 0", tables="documents")
 both("fil_05_half_open", "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-15 00:00:00'", tables="events")
 both("jsn_02_ids", "SELECT doc_id, substring(sha2(concat(source, '/', CAST(doc_id AS STRING)), 256), 1, 8) AS id FROM {documents}", "SELECT doc_id, substring(sha256(concat(source, '/', CAST(doc_id AS VARCHAR))), 1, 8) AS id FROM {documents}", "documents")
