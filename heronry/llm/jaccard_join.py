@@ -48,6 +48,8 @@ MOST_WIDESPREAD = 1_000_000
 GATHERED = 250_000
 #: Members of a region from which on it is divided on the cluster, and of one that a task compares without dividing it.
 LARGE, LEAF = 2048, 128
+#: Members of a region up to which its pairs are made together with those of other small regions; members that one task gets together.
+SMALL, PACKED = 32, 20_000
 PIVOTS, LEVELS = 32, 4
 FILTER_BITS = 23
 #: Codes that a task holds before it counts them, and rows and bytes of an Arrow batch: they bound the memory of a Python worker.
@@ -308,9 +310,21 @@ class Members:
         for h, g in cells:
             yield from self.joined(h, g)
 
+    def neighbours(self, cell: np.ndarray):
+        """As compared(), for all pairs of each of many small regions: members are sorted by region, so pairs stand close together."""
+        for step in range(1, SMALL):
+            i = np.flatnonzero((cell[:-step] == cell[step:]) & (self.root[:-step] != self.root[step:]))
+            i = i[(self.home[i] | self.home[i + step]) & (4 * np.minimum(self.n[i], self.n[i + step]) >= 3 * np.maximum(self.n[i], self.n[i + step]))]
+            yield from self.near(i, i + step)
+
+    def small_pairs(self, cell: np.ndarray, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        return self._chosen(list(self.neighbours(cell)), nearest_only)
+
     def pairs(self, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
         """Classes (a, b) of the pairs that are left; nearest_only: of each member and component the nearest pair alone."""
-        found = list(self.joined(np.flatnonzero(self.home), np.flatnonzero(~self.home)))
+        return self._chosen(list(self.joined(np.flatnonzero(self.home), np.flatnonzero(~self.home))), nearest_only)
+
+    def _chosen(self, found: list, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
         i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
         if nearest_only and len(i):
             order = np.lexsort((d, self.root[j], i))
@@ -354,6 +368,7 @@ def pairs_across(named: DataFrame, kinds: DataFrame, nearest_only: bool) -> Data
     """Pairs (a, b) of one region and different components that sizes and bitmaps allow. named: region, class, n, root."""
     rows = named.join(kinds.select("class", "parities"), "class").select(F.col("region").alias("cell"), "class", "root", "n", "parities", F.lit(True).alias("home"))
     current, done = persisted(_sized(rows), "cells"), []
+    members = current.count()
     for level in range(LEVELS):
         done.append(current.filter(F.col("size") <= LARGE))
         large = current.filter(F.col("size") > LARGE)
@@ -366,18 +381,25 @@ def pairs_across(named: DataFrame, kinds: DataFrame, nearest_only: bool) -> Data
     for part in done[1:]:
         whole = whole.unionByName(part)
     blocks = F.ceil(F.col("size") / LARGE).cast("int")
-    dealt = whole.withColumn("block", F.pmod(F.hash("class"), blocks))
+    dealt = whole.withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("small", F.col("size") <= SMALL)
+    packs = max(16, int((members or 0) / PACKED))
     meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = dealt.select("*", F.explode(meet).alias("m")).select("cell", "class", "root", "n", "parities", "home", "block", "m.i", "m.j")
+    dealt = dealt.select("*", F.explode(meet).alias("m")).select("cell", "class", "root", "n", "parities", "home", "block", "small", "m.i", "m.j")
+    # small regions go together in groups of bounded size, each larger one (or each pair of its blocks) is a group of its own
+    keys = [F.when(F.col("small"), F.pmod(F.xxhash64("cell"), F.lit(packs))).alias("pack"), *[F.when(~F.col("small"), F.col(c)).alias(f"own_{c}") for c in ("cell", "i", "j")]]
 
     def compare(group: pa.Table) -> pa.Table:
-        cls, root, n, block = (group.column(c).to_numpy() for c in ("class", "root", "n", "block"))
+        group = group.sort_by([("cell", "ascending"), ("class", "ascending")]) if group.column("small")[0].as_py() else group
+        cls, root, n, block, cell = (group.column(c).to_numpy() for c in ("class", "root", "n", "block", "cell"))
         home, bits = group.column("home").to_numpy(zero_copy_only=False).astype(bool), _table_of_bits(group.column("parities"))
-        cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        a, b = Members(cls, root, n, home, bits, block if cross else None).pairs(nearest_only)
+        if group.column("small")[0].as_py():
+            a, b = Members(cls, root, n, home, bits).small_pairs(cell, nearest_only)
+        else:
+            cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+            a, b = Members(cls, root, n, home, bits, block if cross else None).pairs(nearest_only)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.select("*", *keys).groupBy("pack", "own_cell", "own_i", "own_j").applyInArrow(compare, "a long, b long")
 
 
 # --- exact decisions -------------------------------------------------------------------------------------------------------
@@ -459,8 +481,10 @@ def _class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = persisted(_possible(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), kinds), "pairs")
         links = sets.links(fresh)
-        edges, tried = (links, fresh) if edges is None else (edges.unionByName(links), tried.unionByName(fresh))
-        roots = persisted(connected_components(edges), "roots")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if roots is None or not links.isEmpty():
+            edges = links if edges is None else edges.unionByName(links)
+            roots = persisted(connected_components(edges), "roots")
 
     def mixed() -> DataFrame:
         """Members of the regions that hold several components."""
