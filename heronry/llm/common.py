@@ -34,6 +34,17 @@ def arrow_batches(spark: SparkSession, rows: int, size: int):
             spark.conf.set(key, value)
 
 
+#: Rows and bytes of an Arrow batch of texts, and the setting that Spark comes with (fixed values).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes from here on, for plans that run later: where the session still has Spark's defaults."""
+    for key, (default, wanted) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, wanted)
+
+
 def lean(run):
     """run(batches) as it is; at its end the worker, which Spark keeps for other tasks, gives freed memory back to the system."""
 

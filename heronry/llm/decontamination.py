@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import id_and_text, span_hashes, table
+from heronry.llm.common import id_and_text, lean, small_batches, span_hashes, table
 from heronry.llm.words import FOLD, Texts, slices, windows
 
 WIDTH = 5
@@ -220,6 +220,7 @@ def blocks(benchmark: DataFrame, block_words: int = 500_000):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.5) -> DataFrame:
     """One row per document row and item that it leaks."""
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     spark = docs.sparkSession
 
@@ -234,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.5) -> Da
                     kinds = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        return run
+        return lean(run)
 
     parts = [docs.mapInArrow(search(spark.sparkContext.broadcast(block)), SCHEMA) for block in blocks(benchmark)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
@@ -243,6 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.5) -> Da
 def without_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, whose text leaks no item."""
     spark, at = docs.sparkSession, docs.columns.index("text")
+    small_batches(spark)
 
     def keep(shared):
         def run(batches):
@@ -253,7 +255,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.
                         clean[first + owner] = False
                 yield batch.filter(pa.array(clean))
 
-        return run
+        return lean(run)
 
     for block in blocks(benchmark):
         docs = docs.mapInArrow(keep(spark.sparkContext.broadcast(block)), docs.schema)

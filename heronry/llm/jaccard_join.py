@@ -519,10 +519,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = described.filter("shingle IS NULL").select("doc_id", "n", "class", "key").join(roots.withColumnRenamed("id", "class"), "class", "left")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "class", "key")
     chosen = rows.filter("n > 0").groupBy(F.coalesce("root", "class")).agg(F.min(order).alias("c")).select("c.doc_id", "c.key")
-    stays = chosen.union(rows.filter("n = 0").select("doc_id", "key")).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_semi")
-    return kept.drop("__key").dropDuplicates(["doc_id", "text"])
+    stays = chosen.union(rows.filter("n = 0").select("doc_id", "key")).distinct()
+    whole = docs.select(F.struct("*").alias("row"))  # columns of docs can't clash with ours
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("key"))
+    kept = whole.join(stays, same, "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).dropDuplicates(["doc_id", "text"])
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

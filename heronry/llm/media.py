@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from heronry.llm.common import id_and_text, table
+from heronry.llm.common import id_and_text, lean, small_batches, table
 from heronry.scratch import scratch_path
 
 # Spark plans a Python source in processes that may not know the driver's sys.path: its classes travel by value.
@@ -297,8 +297,9 @@ def write_pictures(docs: DataFrame, path: str, most: int = 4 << 20) -> None:
             if names:
                 yield members(names, media)
 
+    small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(ArchiveSource)
-    id_and_text(docs).mapInArrow(encode, "member string, media binary").write.format("heronry_archive").mode("append").save(path)
+    id_and_text(docs).mapInArrow(lean(encode), "member string, media binary").write.format("heronry_archive").mode("append").save(path)
 
 
 def read_members(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -328,7 +329,7 @@ def picture_features(members: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return members.mapInArrow(describe, FEATURES)
+    return members.mapInArrow(lean(describe), FEATURES)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

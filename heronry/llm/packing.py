@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm.common import id_and_text, table
+from heronry.llm.common import id_and_text, lean, small_batches, table
 from heronry.llm.pretokens import frequent_chunks, tokenizer_path, worker_cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -143,6 +143,7 @@ def pack_pieces(pieces: Iterable[Piece], limits: Limits, cut: bool = True) -> It
 
 def pack_texts(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 2) -> DataFrame:
     """Pieces of all texts, each text's ids followed by `end_id`; every token bears loss and texts may be cut anywhere."""
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     frequent = frequent_chunks(docs, path)
     end = np.array([end_id], "<u4").tobytes()
@@ -159,7 +160,7 @@ def pack_texts(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: in
         cache = worker_cache(path, frequent)
         yield from _emit(pack_pieces(pieces(batches, cache), limits), TaskContext.get().partitionId())
 
-    return docs.mapInArrow(pack, SCHEMA)
+    return docs.mapInArrow(lean(pack), SCHEMA)
 
 
 def _emit(sequences: Iterator[list[Piece]], partition: int, rows: int = 20_000) -> Iterator[pa.RecordBatch]:

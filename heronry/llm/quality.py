@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import BASE, id_and_text, table
+from heronry.llm.common import BASE, id_and_text, lean, small_batches, table
 
 BITS = 18
 #: Classes of bytes: lower-case and non-ASCII letters, capitals, digits, line ends, other white space; other bytes stand for themselves.
@@ -159,6 +159,7 @@ def one_text_each(sample: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | None:
     """Fit on at most `max_rows` labelled rows outside the held-out fold."""
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna().filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -170,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | N
             rows = [indicators.of(t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "found"])
 
-    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id")).mapInArrow(describe, "doc_id long, label int, found binary")
+    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id")).mapInArrow(lean(describe), "doc_id long, label int, found binary")
     got = sample.toArrow().sort_by("doc_id")
     rows, y = [np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in got["found"]], got["label"].to_pylist()
     return fit(rows, np.array(y))
@@ -178,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | N
 
 def quality_scores(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -187,11 +189,12 @@ def quality_scores(docs: DataFrame, model: Model | None, threshold: float = 0.3)
             scores = np.array([0.5 if model is None else model.score(indicators.of(t.as_py())) for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores at least `threshold`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -200,7 +203,7 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Da
         for batch in batches:
             yield batch.filter(pa.array([model is None or model.score(indicators.of(t.as_py() or "")) >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm.common import id_and_text, table
+from heronry.llm.common import id_and_text, lean, small_batches, table
 from heronry.llm.pretokens import frequent_chunks, tokenizer_path, worker_cache
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -20,6 +20,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """One row per row of docs: UTF-8 bytes, tokens by the library for `path`, and whether they exceed `limit`."""
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     frequent = frequent_chunks(docs, path)
 
@@ -37,7 +38,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.mapInArrow(count, SCHEMA)
+    return docs.mapInArrow(lean(count), SCHEMA)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

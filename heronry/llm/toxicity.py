@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.llm.common import id_and_text, table
+from heronry.llm.common import id_and_text, lean, small_batches, table
 from heronry.llm.quality import one_text_each
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,6 +124,7 @@ def fit(counts: list[dict[str, int]], toxic: np.ndarray, least_df: int = 3) -> S
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Severity | None:
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Severity
             rows = [json.dumps(Counter(WORD.findall(t.as_py().lower())), ensure_ascii=False) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.string())], names=["doc_id", "label", "counts"])
 
-    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id")).mapInArrow(describe, "doc_id long, label int, counts string")
+    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id")).mapInArrow(lean(describe), "doc_id long, label int, counts string")
     got = sample.toArrow().sort_by("doc_id")
     # only features of two sampled rows at least can enter the vocabulary; the others are let go row by row
     seen, often = set(), set()
@@ -148,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Severity
 
 def severities(docs: DataFrame, model: Severity | None, threshold: float = 0.5) -> DataFrame:
     """doc_id, score = P(grade >= 1), expected severity, likeliest grade and predicted (score >= threshold) for every row."""
+    small_batches(docs.sparkSession)
     docs = id_and_text(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -160,7 +162,7 @@ def severities(docs: DataFrame, model: Severity | None, threshold: float = 0.5)
             columns = [batch.column("doc_id"), pa.array(any_grade, pa.float64()), pa.array([float(e.sum()) for e in exceed], pa.float64()), pa.array([int(np.argmax(x[:-1] - x[1:])) for x in p], pa.int32()), pa.array((any_grade >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "expected_severity", "grade", "predicted"])
 
-    return docs.mapInArrow(score, SCHEMA)
+    return docs.mapInArrow(lean(score), SCHEMA)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
