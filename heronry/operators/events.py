@@ -105,15 +105,16 @@ def dominant_pairs(pairs: DataFrame, left: str, right: str, item: str, least: in
     """Pairs with at least `least` common items, and `dominance` times as many as the best competitor on either side."""
     counts = pairs.groupBy(left, right).agg(F.countDistinct(item).alias("n"))
 
-    def rival(side: str) -> Column:
-        other = Window.partitionBy(side).orderBy(F.desc("n"), left, right)
-        best, second = F.max("n").over(Window.partitionBy(side)), F.max(F.when(F.col(f"__{side}") == 2, F.col("n"))).over(Window.partitionBy(side))
-        return F.when(F.col(f"__{side}") == 1, F.coalesce(second, F.lit(0))).otherwise(best), F.row_number().over(other)
+    def best_two(side: str) -> DataFrame:
+        """The two largest counts of each side, of salted parts first: no task sorts all pairs of one side."""
+        top = lambda c: F.slice(F.sort_array(c, asc=False), 1, 2)
+        parts = counts.groupBy(side, F.pmod(F.xxhash64(left, right), F.lit(32)).alias("salt")).agg(top(F.collect_list("n")).alias("t"))
+        both = parts.groupBy(side).agg(top(F.flatten(F.collect_list("t"))).alias("t"))
+        return both.select(side, F.get("t", F.lit(0)).alias(f"{side}_1"), F.coalesce(F.get("t", F.lit(1)), F.lit(0)).alias(f"{side}_2"))
 
-    for side in (left, right):
-        counts = counts.withColumn(f"__{side}", rival(side)[1])
-    competitor = F.greatest(rival(left)[0], rival(right)[0])
-    return counts.withColumn("competitor", competitor).filter((F.col("n") >= least) & (F.col("n") >= dominance * F.col("competitor"))).select(left, right, "n", "competitor")
+    rival = lambda side: F.when(F.col("n") == F.col(f"{side}_1"), F.col(f"{side}_2")).otherwise(F.col(f"{side}_1"))
+    told = counts.filter(F.col("n") >= least).join(best_two(left), left).join(best_two(right), right).withColumn("competitor", F.greatest(rival(left), rival(right)))
+    return told.filter(F.col("n") >= dominance * F.col("competitor")).select(left, right, "n", "competitor")
 
 
 def retained(releases: DataFrame, reasons: dict[str, DataFrame], key: str, made: str, before: Column) -> DataFrame:
@@ -122,8 +123,10 @@ def retained(releases: DataFrame, reasons: dict[str, DataFrame], key: str, made:
     for reason, ids in reasons.items():
         part = ids.select(key).distinct().withColumn("reason", F.lit(reason))
         marks = part if marks is None else marks.unionByName(part)
-    held = marks.groupBy(key).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-    rows = releases.join(held, key, "left")
+    if marks is None:
+        rows = releases.withColumn("reasons", F.lit(None).cast("array<string>"))
+    else:
+        rows = releases.join(marks.groupBy(key).agg(F.array_sort(F.collect_set("reason")).alias("reasons")), key, "left")
     return rows.withColumn("candidate", F.col("reasons").isNull() & (F.col(made) < before))
 
 

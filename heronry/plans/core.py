@@ -252,7 +252,13 @@ def capped(spark, sf_dir):
     return E.capped(table(spark, sf_dir, "documents"), "source", [F.desc("n_chars"), "doc_id"], 3).select("source", "doc_id", "position", "more")
 
 
-@query("win_14_shelf_pack")
+@query(
+    "win_14_shelf_pack",
+    """WITH RECURSIVE i AS (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY source) AS rn FROM documents GROUP BY lang, source),
+    f AS (SELECT lang, source, n, rn, 0 AS shard, n AS held FROM i WHERE rn = 1
+    UNION ALL SELECT i.lang, i.source, i.n, i.rn, CASE WHEN f.held + i.n > 20 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.held + i.n > 20 THEN i.n ELSE f.held + i.n END FROM f JOIN i ON i.lang = f.lang AND i.rn = f.rn + 1)
+    SELECT lang, source, n, shard FROM f""",
+)
 def shelf_pack(spark, sf_dir):
     items = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
     return E.shelf_pack(items, "lang", "source", "n", 20)
