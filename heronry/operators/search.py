@@ -7,6 +7,7 @@ a few rows (the query is an argument), so scoring shuffles only matching posting
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,20 @@ def bm25(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
     return scored.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def bm25_texts(docs: DataFrame, key: str, tokens: Column, terms: list[str]) -> DataFrame:
+    """bm25() straight from texts, for a query without a stored index: each text's counts of the query's terms are made in its own row,
+    so nothing but one row of statistics is aggregated and no token is shuffled. One row of docs is one document."""
+    asked = list(dict.fromkeys(terms))
+    count = lambda term: F.size(F.filter("t", lambda x: x == term))
+    split = docs.select(key, F.explode(F.array(tokens)).alias("t")).filter(F.size("t") > 0)
+    rows = split.select(key, F.size("t").alias("length"), *[count(t).alias(f"tf{i}") for i, t in enumerate(asked)])
+    one = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))]).first()
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(one.mean_length or 1.0))
+    parts = [idf(F.lit(one.n), F.lit(one[f"df{i}"])) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(asked))]
+    found = reduce(Column.__or__, [F.col(f"tf{i}") > 0 for i in range(len(asked))], F.lit(False))
+    return rows.filter(found).select(key, reduce(Column.__add__, parts, F.lit(0.0)).alias("score"))
+
+
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
 

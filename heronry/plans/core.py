@@ -31,15 +31,14 @@ scored AS (
 
 def _scored(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    index = S.postings(docs, "doc_id", T.simple_tokens("text"))
-    return S.bm25(index, "doc_id", TERMS).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    scored = S.bm25_texts(docs, "doc_id", T.simple_tokens("text"), TERMS)
+    return scored.join(docs.select("doc_id", "source", "lang"), "doc_id")
 
 
 @query("sch_03_bm25_top20", f"WITH {TOKENS_CTE} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20")
 def bm25_top(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    index = S.postings(docs, "doc_id", T.simple_tokens("text"))
-    return S.top(S.bm25(index, "doc_id", TERMS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+    return S.top(S.bm25_texts(docs, "doc_id", T.simple_tokens("text"), TERMS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("agg_05_facets", f"WITH {TOKENS_CTE} SELECT source, count(DISTINCT doc_id) AS groups FROM scored GROUP BY source")
