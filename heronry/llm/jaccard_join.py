@@ -264,10 +264,10 @@ def distances(bits: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class Members:
-    """Members of one region: class, component (root), size, bitmap and whether they are at home there."""
+    """Members of a region, or of several small ones: class, component (root), size, bitmap, whether they are at home there, region."""
 
-    def __init__(self, cls, root, n, home, bits, block=None):
-        self.cls, self.root, self.n, self.home, self.bits, self.block = cls, root, n, home, bits, block
+    def __init__(self, cls, root, n, home, bits, block=None, cell=None):
+        self.cls, self.root, self.n, self.home, self.bits, self.block, self.cell = cls, root, n, home, bits, block, cell
 
     def near(self, u: np.ndarray, v: np.ndarray):
         """(u, v, difference) of the pairs of members that sizes and bitmaps allow."""
@@ -310,52 +310,59 @@ class Members:
         for h, g in cells:
             yield from self.joined(h, g)
 
-    def neighbours(self, cell: np.ndarray):
+    def neighbours(self):
         """As compared(), for all pairs of each of many small regions: members are sorted by region, so pairs stand close together."""
+        cell = self.cell
         for step in range(1, SMALL):
             i = np.flatnonzero((cell[:-step] == cell[step:]) & (self.root[:-step] != self.root[step:]))
             i = i[(self.home[i] | self.home[i + step]) & (4 * np.minimum(self.n[i], self.n[i + step]) >= 3 * np.maximum(self.n[i], self.n[i + step]))]
             yield from self.near(i, i + step)
 
-    def small_pairs(self, cell: np.ndarray, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
-        return self._chosen(list(self.neighbours(cell)), nearest_only)
+    def pairs(self, small: bool, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes (a, b) of the pairs that are left, and the regions that have more of them.
 
-    def pairs(self, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Classes (a, b) of the pairs that are left; nearest_only: of each member and component the nearest pair alone."""
-        return self._chosen(list(self.joined(np.flatnonzero(self.home), np.flatnonzero(~self.home))), nearest_only)
-
-    def _chosen(self, found: list, nearest_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        With whole=False a region that has more than two pairs a member gives the nearest pair of each member alone, and is named.
+        """
+        found = list(self.neighbours() if small else self.joined(np.flatnonzero(self.home), np.flatnonzero(~self.home)))
         i, j, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-        if nearest_only and len(i):
-            order = np.lexsort((d, self.root[j], i))
-            i, j = i[order], j[order]
-            first = np.r_[True, (i[1:] != i[:-1]) | (self.root[j[1:]] != self.root[j[:-1]])]
-            i, j = i[first], j[first]
-        return self.cls[i], self.cls[j]
+        if whole or not len(i):
+            return self.cls[i], self.cls[j], np.zeros(0, np.int64)
+        cells, sizes = np.unique(self.cell, return_counts=True)
+        where = np.searchsorted(cells, self.cell[i])
+        crowded = np.bincount(where, minlength=len(cells)) > 2 * sizes
+        full = crowded[where]
+        u, v, far = np.concatenate([i[full], j[full]]), np.concatenate([j[full], i[full]]), np.concatenate([d[full], d[full]])
+        order = np.lexsort((v, far, u))
+        u, v = u[order], v[order]
+        first = np.r_[True, u[1:] != u[:-1]] if len(u) else np.zeros(0, bool)
+        i, j = np.concatenate([i[~full], u[first]]), np.concatenate([j[~full], v[first]])
+        return self.cls[i], self.cls[j], cells[crowded]
 
 
-CELL = "cell long, class long, root long, n long, parities binary, home boolean"
+CELL = "cell long, origin long, class long, root long, n long, home boolean"
+CELLS = [x.split()[0] for x in CELL.split(", ")]
 
 
-def divided(members: DataFrame, level: int) -> DataFrame:
+def divided(members: DataFrame, kinds: DataFrame, level: int) -> DataFrame:
     """The members of large regions (columns of CELL and the region's size) in smaller ones, by document pivots."""
     step = F.greatest(F.lit(1), F.floor(F.col("size") / PIVOTS))
-    pivots = members.filter("home").filter(F.pmod(F.xxhash64("class", F.lit(level)), step) == 0).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("class", "parities"))).alias("p"))
-    known = members.join(pivots.select("cell", F.col("p.parities").alias("pivots")), "cell", "left")
+    known = members.join(kinds.select("class", "parities"), "class")
+    pivots = known.filter("home").filter(F.pmod(F.xxhash64("class", F.lit(level)), step) == 0).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("class", "parities"))).alias("p"))
+    known = known.join(pivots.select("cell", F.col("p.parities").alias("pivots")), "cell", "left")
 
     def measure(batches):
         for batch in batches:
             bits, rows = _table_of_bits(batch.column("parities")), []
             for b, pivots in zip(bits, batch.column("pivots"), strict=True):
                 rows.append(distances(b[None, :], _table_of_bits(pivots.values))[0].tolist() if pivots.is_valid and len(pivots) else [0])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("cell", "class", "root", "n", "parities", "home")], pa.array(rows, pa.list_(pa.int64()))], names=["cell", "class", "root", "n", "parities", "home", "d"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in CELLS], pa.array(rows, pa.list_(pa.int64()))], names=[*CELLS, "d"])
 
-    measured = known.select("cell", "class", "root", "n", "parities", "home", "pivots").mapInArrow(measure, f"{CELL}, d array<long>")
+    measured = known.select(*CELLS, "parities", "pivots").mapInArrow(measure, f"{CELL}, d array<long>")
     measured = persisted(measured.withColumn("nearest", F.when(F.col("home"), F.array_position("d", F.array_min("d")) - 1)), "distances")
     radius = measured.filter("home").groupBy("cell", "nearest").agg(F.max(F.array_min("d")).alias("radius")).groupBy("cell").agg(F.collect_list(F.struct(F.col("nearest").alias("k"), "radius")).alias("cells"))
     placed = measured.join(radius, "cell").select("*", F.explode("cells").alias("c")).withColumn("here", F.col("nearest").eqNullSafe(F.col("c.k")))
     kept = placed.filter("here OR ((nearest IS NULL OR nearest > c.k) AND 3 * get(d, cast(c.k AS int)) <= 3 * c.radius + n)")
-    return kept.select(F.xxhash64("cell", "c.k").alias("cell"), "class", "root", "n", "parities", F.col("here").alias("home"))
+    return kept.select(F.xxhash64("cell", "c.k").alias("cell"), "origin", "class", "root", "n", F.col("here").alias("home"))
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -364,42 +371,54 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(sizes.select("cell", "size"), "cell")
 
 
-def pairs_across(named: DataFrame, kinds: DataFrame, nearest_only: bool) -> DataFrame:
-    """Pairs (a, b) of one region and different components that sizes and bitmaps allow. named: region, class, n, root."""
-    rows = named.join(kinds.select("class", "parities"), "class").select(F.col("region").alias("cell"), "class", "root", "n", "parities", F.lit(True).alias("home"))
+def pairs_across(named: DataFrame, kinds: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of one region and different components that sizes and bitmaps allow. named: region, class, n, root.
+
+    With whole=False also rows `again`: regions that have more pairs than were given (see Members.pairs).
+    """
+    rows = named.select(F.col("region").alias("cell"), F.col("region").alias("origin"), "class", "root", "n", F.lit(True).alias("home"))
     current, done = persisted(_sized(rows), "cells"), []
-    members = current.count()
+    total = current.count()
     for level in range(LEVELS):
         done.append(current.filter(F.col("size") <= LARGE))
         large = current.filter(F.col("size") > LARGE)
         if large.isEmpty():
             break
-        current = persisted(_sized(divided(large, level)), "cells")
+        current = persisted(_sized(divided(large, kinds, level)), "cells")
     else:
         done.append(current)
-    whole = done[0]
+    parts = done[0]
     for part in done[1:]:
-        whole = whole.unionByName(part)
+        parts = parts.unionByName(part)
     blocks = F.ceil(F.col("size") / LARGE).cast("int")
-    dealt = whole.withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("small", F.col("size") <= SMALL)
-    packs = max(16, int((members or 0) / PACKED))
+    dealt = parts.withColumn("block", F.pmod(F.hash("class"), blocks)).withColumn("small", F.col("size") <= SMALL)
     meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = dealt.select("*", F.explode(meet).alias("m")).select("cell", "class", "root", "n", "parities", "home", "block", "small", "m.i", "m.j")
+    dealt = dealt.select("*", F.explode(meet).alias("m")).select(*CELLS, "block", "small", "m.i", "m.j").join(kinds.select("class", "parities"), "class")
     # small regions go together in groups of bounded size, each larger one (or each pair of its blocks) is a group of its own
+    packs = max(16, total // PACKED)
     keys = [F.when(F.col("small"), F.pmod(F.xxhash64("cell"), F.lit(packs))).alias("pack"), *[F.when(~F.col("small"), F.col(c)).alias(f"own_{c}") for c in ("cell", "i", "j")]]
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("cell", "ascending"), ("class", "ascending")]) if group.column("small")[0].as_py() else group
-        cls, root, n, block, cell = (group.column(c).to_numpy() for c in ("class", "root", "n", "block", "cell"))
+        small = group.column("small")[0].as_py()
+        if small:
+            group = group.sort_by([("cell", "ascending"), ("class", "ascending")])
+        cls, root, n, block, cell = (group.column(c).to_numpy() for c in ("class", "root", "n", "block", "cell" if small else "origin"))
         home, bits = group.column("home").to_numpy(zero_copy_only=False).astype(bool), _table_of_bits(group.column("parities"))
-        if group.column("small")[0].as_py():
-            a, b = Members(cls, root, n, home, bits).small_pairs(cell, nearest_only)
-        else:
-            cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-            a, b = Members(cls, root, n, home, bits, block if cross else None).pairs(nearest_only)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.select("*", *keys).groupBy("pack", "own_cell", "own_i", "own_j").applyInArrow(compare, "a long, b long")
+        cross = not small and group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        a, b, more = Members(cls, root, n, home, bits, block if cross else None, cell).pairs(small, whole)
+        if small and len(more):  # regions are named by their first-level region
+            more = group.column("origin").to_numpy()[np.searchsorted(cell, more)]
+        gap = lambda count: np.zeros(count, bool)
+        return pa.table(
+            [
+                pa.array(np.concatenate([a, np.zeros(len(more), np.int64)]), pa.int64(), mask=np.concatenate([gap(len(a)), ~gap(len(more))])),
+                pa.array(np.concatenate([b, np.zeros(len(more), np.int64)]), pa.int64(), mask=np.concatenate([gap(len(a)), ~gap(len(more))])),
+                pa.array(np.concatenate([np.zeros(len(a), np.int64), more]), pa.int64(), mask=np.concatenate([~gap(len(a)), gap(len(more))])),
+            ],
+            names=["a", "b", "again"],
+        )
+
+    return dealt.select("*", *keys).groupBy("pack", "own_cell", "own_i", "own_j").applyInArrow(compare, "a long, b long, again long")
 
 
 # --- exact decisions -------------------------------------------------------------------------------------------------------
@@ -494,8 +513,11 @@ def _class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     pivot = members.groupBy("region").agg(F.min(F.struct("class", "n")).alias("p"))
     grown(members.join(pivot, "region").filter("4 * least(n, p.n) >= 3 * greatest(n, p.n)").select(F.col("class").alias("a"), F.col("p.class").alias("b")))
-    for nearest_only in (True, False):
-        grown(pairs_across(mixed(), kinds, nearest_only))
+    found = persisted(pairs_across(mixed(), kinds, whole=False), "found")
+    grown(found.filter("a IS NOT NULL").select("a", "b"))
+    again = found.filter("again IS NOT NULL").select(F.col("again").alias("region")).distinct()
+    if not again.isEmpty():
+        grown(pairs_across(mixed().join(again, "region", "left_semi"), kinds, whole=True).select("a", "b"))
     return described, roots
 
 
