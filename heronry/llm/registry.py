@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 from heronry.llm.decontamination import op9_decontamination
+from heronry.llm.infilling import OP12_SQL, op12_fill_in_middle
 from heronry.llm.jaccard_join import op8_ngram_jaccard_join
 from heronry.llm.licences import op1_license_scans
 from heronry.llm.line_dedup import op7_line_dedup
 from heronry.llm.media import op2_media_columns
 from heronry.llm.packing import op6_packing
 from heronry.llm.quality import op4_quality_classifier
+from heronry.llm.substrings import OP13_SQL, op13_substring_dedup
 from heronry.llm.token_counts import op5_token_counts
 from heronry.llm.toxicity import op3_toxicity
 from heronry.llm.warc_audit import OP10_SQL, op10_warc_audit
@@ -25,9 +27,11 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_warc_audit": op10_warc_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_substring_dedup": op13_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op10_warc_audit": OP10_SQL}
+ORACLE_SQL = {"op10_warc_audit": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_substring_dedup": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
