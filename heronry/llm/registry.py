@@ -10,6 +10,7 @@ from heronry.llm.licences import op1_license_scans
 from heronry.llm.line_dedup import op7_line_dedup
 from heronry.llm.media import op2_media_columns
 from heronry.llm.packing import op6_packing
+from heronry.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from heronry.llm.quality import op4_quality_classifier
 from heronry.llm.substrings import OP13_SQL, op13_substring_dedup
 from heronry.llm.token_counts import op5_token_counts
@@ -27,11 +28,12 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_warc_audit": op10_warc_audit,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_substring_dedup": op13_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL = {"op10_warc_audit": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_substring_dedup": OP13_SQL}
+ORACLE_SQL = {"op10_warc_audit": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_substring_dedup": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
