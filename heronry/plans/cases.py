@@ -55,7 +55,7 @@ cases("str_02_code_terms", "x string", lambda: L.terms("x"), [
     ("HeartbeatRequestManager", "heartbeatrequestmanager|heartbeat|request|manager"), ("HTTPServer", "httpserver|http|server"), ("max.pollRecords", "max.pollrecords|max|pollrecords|poll|records"), ("KAFKA-12", "kafka-12|kafka|12"), ("plain words", "plain|words"),
 ])
 cases("str_03_case_words", "x string", lambda: L.case_words(col("x")), [
-    ("KRaft", "KRaft"), ("IDs", "IDs"), ("HTTPServer", "HTTP|Server"), ("fetchV2Request", "fetch|V2|Request"), ("aBcD", "aBcD"), ("word", "word"), ("planB", "planB"),
+    ("KRaft", "KRaft"), ("IDs", "IDs"), ("HTTPServer", "HTTP|Server"), ("fetchV2Request", "fetch|V2|Request"), ("aBcD", "aBcD"), ("aBCd", "aB|Cd"), ("a", "a"), ("word", "word"), ("planB", "planB"),
 ])
 cases("str_04_reading_words", "x string", lambda: L.reading_words("x"), [
     ("The HeartbeatRequestManager, again", "the|heartbeat|request|manager|again"), ("a.b.pollRecords() x-y", "a|b|poll|records|x|y"), (" ", ""),
@@ -72,14 +72,15 @@ cases("str_09_passage", "x string", lambda: L.matched_excerpt("x", F.expr("cast(
 cases("str_10_identifiers", "x string", lambda: L.canonical_identifiers("x", ["KIP", "KAFKA"]), [("see kip 12 and KAFKA7", "see KIP-12 and KAFKA-7"), ("skip 3", "skip 3"), ("kip-5x kip-6", "kip-5x KIP-6")])
 cases("str_11_keys", "x string", lambda: F.concat(T.numbered_proposals("x"), T.issue_keys("x")), [("KIP 9, KAFKA-3 and kafka-3, KIP-9", "KIP-9|KAFKA-3|KIP-9"), ("none", "")])
 cases("str_12_subject_key", "x string", lambda: T.thread_key("x"), [("Re: FW:  Vote   on it", "vote on it"), ("Regarding: x", "regarding: x"), (None, "")])
-cases("str_13_member_key", "x string", lambda: W.member_key("x"), [("[EXTERNAL] Re: AW: Plan  B", "plan b"), ("re: [Caution] sv: x", "x"), ("Ready: x", "ready: x")])
+cases("str_13_member_key", "x string", lambda: W.member_key("x"), [("[EXTERNAL] Re: AW: Plan  B", "plan b"), ("re: [Caution] sv: x", "x"), ("Ready: x", "ready: x"), ("Rif: x", "x"), ("RV: x", "rv: x"), ("vs:antw: x", "x")])
 cases("str_14_mail_author", "x string", lambda: T.mail_author("x"), [('"Ada Ito" <a@b.c>', "Ada Ito"), ("Ada Ito via dev <d@e.f>", "Ada Ito"), ("Ada", "Ada")])
 cases("str_15_name_key", "x string", lambda: T.name_key("x"), [('  "Ada"  ITO ', "ada ito"), ("O'Neil", "oneil")])
 cases("str_16_votes", "x string", lambda: W.votes("x"), [
     ("+1 (binding)\nThanks", '{"votes":[{"vote":"+1","marker":"binding","line":"+1 (binding)"}],"unclear":[],"ambiguous":false}'),
     (" -1 because of it", '{"votes":[{"vote":"-1","line":"-1 because of it"}],"unclear":[],"ambiguous":false}'),
     ("+1 to what was said\n> +1", '{"votes":[],"unclear":["+1 to what was said"],"ambiguous":false}'),
-    ("hello\nOn Monday Ada wrote:\n+1", '{"votes":[],"unclear":[],"ambiguous":true}'),
+    ("hello\n--- Original Message ---\n+1", '{"votes":[],"unclear":[],"ambiguous":true}'),
+    ("+1\nFrom: Ada\nhello", '{"votes":[{"vote":"+1","line":"+1"}],"unclear":[],"ambiguous":false}'),
     ("+1 (non-binding), lgtm\n+10 more", '{"votes":[{"vote":"+1","marker":"non-binding","line":"+1 (non-binding), lgtm"}],"unclear":[],"ambiguous":false}'),
 ])
 cases("str_18_markdown", "x string", lambda: T.markdown_plain("x", 20), [("# Title\n\n`code` [link](http://u) ![i](u)", "Title code link"), ("```\nx\n``` rest", "rest"), ("0123456789 0123456789 0123", "0123456789 01234567…")])
