@@ -14,7 +14,8 @@ comes, for each chunk, which of its places are shared; so texts are never shuffl
 a task has several times is sent once, with that mark: a passage that stands in a third of all rows costs each task one code. A bucket
 is held in memory at a time, and the number of buckets grows with the bytes of the corpus.
 
-Codes are 64-bit hashes, told apart further by their bucket. Null text has no words; null doc_id stays null; rows that repeat a doc_id
+Codes are hashes, of 32 bits for anchors, as a bucket holds some million of them and a chance match only has a window hashed in vain,
+and of 64 bits for windows, told apart further by their bucket. Null text has no words; null doc_id stays null; rows that repeat a doc_id
 are texts of their own, and repeated rows repeat their windows; texts of fewer than WINDOW words lose nothing; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -103,6 +104,16 @@ def window_codes(hashes: np.ndarray, starts: np.ndarray, width: int) -> tuple[np
         return out[0], out[1]
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers as bytes: their width, then each in 2 or 4 bytes."""
+    width = 2 if not len(numbers) or numbers.max() < 1 << 16 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 class Chunk:
     """Word hashes of a chunk's texts, each word's place in its text, and how many words of the text stand from it on."""
 
@@ -165,8 +176,8 @@ def sent(rows: DataFrame, buckets: int, codes_of) -> DataFrame:
         low, high = np.searchsorted(runs, cuts), np.searchsorted(runs, ends)
         gaps = np.diff(place, prepend=0)
         gaps[runs] = place[runs]
-        narrow = [gaps[a:b].astype(np.uint16 if gaps[a:b].max() < 1 << 16 else np.uint32).tobytes() for a, b in zip(cuts, ends, strict=True)]
-        columns = [pa.array(bucket[cuts]), part(chunk[runs], low, high), part(counts, low, high), part(code, cuts, ends), pa.array(narrow, pa.binary()), part(np.asarray(repeats, bool), cuts, ends)]
+        between = pa.array([narrow(gaps[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())
+        columns = [pa.array(bucket[cuts]), part(chunk[runs], low, high), part(counts, low, high), part(code, cuts, ends), between, part(np.asarray(repeats, bool), cuts, ends)]
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunks", "counts", "codes", "gaps", "repeats"])
 
     def run(batches):
@@ -187,21 +198,20 @@ def sent(rows: DataFrame, buckets: int, codes_of) -> DataFrame:
 
 
 def answered(codes: DataFrame, buckets: int) -> DataFrame:
-    """chunk and its places, packed, whose code stands at another place too: one row for each chunk."""
+    """chunk and the gaps between its places, packed, whose code stands at another place too: one row for each chunk."""
 
     def places(gaps: bytes, counts: np.ndarray) -> np.ndarray:
-        total = int(counts.sum())
-        each = np.frombuffer(gaps, np.uint16 if len(gaps) == 2 * total else np.uint32).astype(np.int64)
+        each = widened(gaps)
         run, first = np.cumsum(each), np.cumsum(counts) - counts
         return run - np.repeat(run[first] - each[first], counts)
 
     def joined(rows):
         counts = [np.frombuffer(r[2], np.int32) for r in rows]
         chunk = np.repeat(np.concatenate([np.frombuffer(r[1], np.int64) for r in rows]), np.concatenate(counts))
-        place = np.concatenate([places(r[4], c) for r, c in zip(rows, counts, strict=True)]).astype(np.uint32)
+        place = np.concatenate([places(r[4], c) for r, c in zip(rows, counts, strict=True)])
         shared = np.ones(len(place), bool)
         if rows[0][0] >= 0:
-            code = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
+            code = np.concatenate([np.frombuffer(r[3], f"<u{len(r[3]) // int(c.sum())}") for r, c in zip(rows, counts, strict=True)])
             repeats = np.concatenate([np.frombuffer(r[5], bool) for r in rows])
             order = np.argsort(code, kind="stable")
             fresh = np.r_[True, code[order][1:] != code[order][:-1]]
@@ -215,8 +225,9 @@ def answered(codes: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((place, chunk))
         chunk, place = chunk[order], place[order]
         cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, int)
-        ends = np.r_[cuts[1:], len(chunk)].astype(int)
-        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts]), pa.array([place[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] if len(cuts) else [], pa.binary())], names=["chunk", "places"])
+        ends = np.r_[cuts[1:], len(chunk)].astype(int)[: len(cuts)]
+        gaps = [narrow(np.diff(place[a:b], prepend=0)) for a, b in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts], pa.int64()), pa.array(gaps, pa.binary())], names=["chunk", "gaps"])
 
     def run(batches):
         rows = []
@@ -230,7 +241,7 @@ def answered(codes: DataFrame, buckets: int) -> DataFrame:
             yield joined(rows)
 
     by_bucket = codes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(lean(run), "chunk long, places binary").groupBy("chunk").agg(F.collect_list("places").alias("places"))
+    return by_bucket.mapInArrow(lean(run), "chunk long, gaps binary").groupBy("chunk").agg(F.collect_list("gaps").alias("gaps"))
 
 
 def _with_places(chunks: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -238,8 +249,8 @@ def _with_places(chunks: DataFrame, places: DataFrame, how: str) -> DataFrame:
 
 
 def _places(batch, row) -> np.ndarray:
-    parts = batch.column("places")[row]
-    return np.sort(np.concatenate([np.frombuffer(p.as_buffer(), np.uint32) for p in parts.values])).astype(np.int64) if parts.is_valid and len(parts) else np.zeros(0, np.int64)
+    parts = batch.column("gaps")[row]
+    return np.sort(np.concatenate([np.cumsum(widened(p.as_py())) for p in parts.values])) if parts.is_valid and len(parts) else np.zeros(0, np.int64)
 
 
 def repeated_windows(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -248,7 +259,8 @@ def repeated_windows(chunks: DataFrame, buckets: int) -> DataFrame:
     def anchors(batch, row):
         chunk = Chunk(_texts(batch, row))
         at = chunk.anchors()
-        return batch.column("chunk")[row].as_py(), at, *window_codes(chunk.hashes, at, ANCHOR)
+        code, bucket = window_codes(chunk.hashes, at, ANCHOR)
+        return batch.column("chunk")[row].as_py(), at, (code >> np.uint64(32)).astype(np.uint32), bucket
 
     def extended(batch, row):
         chunk = Chunk(_texts(batch, row))
