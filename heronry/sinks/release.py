@@ -7,6 +7,7 @@ body), so equal bodies are stored once.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,25 +63,40 @@ def _file(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def _pointer_files(spark: SparkSession, path: str) -> list[tuple[int, object]]:
+    """(number, file) of every complete state of a pointer, the newest first."""
+    files, pattern = _file(spark, f"{path}.v*")
+    found = [f.getPath() for f in files.globStatus(pattern) or []]
+    return sorted(((int(p.getName().rpartition(".v")[2]), p) for p in found if p.getName().rpartition(".v")[2].isdigit()), key=lambda x: -x[0])
+
+
 def read_pointer(spark: SparkSession, path: str) -> dict | None:
-    files, place = _file(spark, path)
-    if not files.exists(place):
-        return None
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    """The newest state of a pointer; None before the first."""
+    states = _pointer_files(spark, path)
+    return json.loads(spark.read.text(states[0][1].toString(), wholetext=True).first()[0]) if states else None
+
 
+def switch_pointer(spark: SparkSession, path: str, value: dict, kept: int = 2) -> bool:
+    """Write the pointer if its content changes. Whether it was written.
 
-def switch_pointer(spark: SparkSession, path: str, value: dict) -> bool:
-    """Write the pointer if its content changes: beside the old one, then renamed over it. Whether it was written."""
+    Every state is a file of its own with a number, written beside and renamed when it is whole, and readers take the greatest number:
+    a crash at any step leaves the state before or the new one. A number that another writer took meanwhile is an error. Older states
+    than the newest `kept` go at the end.
+    """
     if read_pointer(spark, path) == value:
         return False
-    files, place = _file(spark, path)
-    _, fresh = _file(spark, f"{path}.new")
+    states = _pointer_files(spark, path)
+    number = states[0][0] + 1 if states else 1
+    files, fresh = _file(spark, f"{path}.new-{uuid.uuid4().hex}")
+    _, place = _file(spark, f"{path}.v{number}")
     out = files.create(fresh, True)
     out.write(json.dumps(value, sort_keys=True).encode())
     out.close()
-    files.delete(place, False)
-    if not files.rename(fresh, place):
-        raise OSError(f"the pointer {path} could not be renamed")
+    if files.exists(place) or not files.rename(fresh, place):
+        files.delete(fresh, False)
+        raise OSError(f"another writer switched the pointer {path}")
+    for _, old in states[kept - 1 :]:
+        files.delete(old, False)
     return True
 
 
@@ -112,7 +128,7 @@ def upsert_months(spark: SparkSession, rows: DataFrame, path: str, key: list[str
     """Merge rows (with a column month) into a table in folders by month: the newest of each key by `order` stays.
 
     Only months whose content changes are written again, each as a new version; a table of versions is written last, so readers see
-    a month whole, old or new. The result: month, written.
+    a month whole, old or new. What a run that died before that left behind is written over by the next. The result: month, written.
     """
     old = read_months(spark, path)
     months = rows.select("month").distinct()
@@ -126,7 +142,7 @@ def upsert_months(spark: SparkSession, rows: DataFrame, path: str, key: list[str
     changed = changed.select("month")
     report = [r.month for r in changed.collect()]  # a row for each month
     if report:
-        best.join(F.broadcast(changed), "month").write.partitionBy("month").parquet(f"{path}/data/version={version}")
+        best.join(F.broadcast(changed), "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/data/version={version}")
         spark.createDataFrame([(m, version) for m in report], "month string, version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return months.join(changed.withColumn("written", F.lit(True)), "month", "left").select("month", F.coalesce("written", F.lit(False)).alias("written"))
 
