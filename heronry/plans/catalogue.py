@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heronry.plans import activity, cases, core, evidence, ingest, monitoring, people, releases, rules, sets, state, streams, weekly  # noqa: F401
+from heronry.plans import activity, cases, core, evidence, ingest, monitoring, people, readers, releases, rules, sets, state, streams, weekly  # noqa: F401
 from heronry.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
