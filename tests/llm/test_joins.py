@@ -102,6 +102,36 @@ def test_recall_of_similar_lines(spark):
     assert all(head[i] in (i, i - i % 2) for i in head)
 
 
+def test_recall_at_the_threshold(spark):
+    """Lines of 120 to 1500 characters at a similarity of 0.75 to 0.80, with changed letters spread evenly: nine of ten at least meet, at each length."""
+    rng, texts, lengths = np.random.default_rng(11), [], []
+    for length in (120, 300, 500, 1000, 1500):
+        made = 0
+        while made < 150:
+            base = line(rng, length // 6, int(rng.integers(3, 8)))[:length]
+            changes = int(len(base) / rng.uniform(35, 46))
+            other = list(base)
+            for at in np.linspace(0, len(base) - 1, changes + 2)[1:-1].astype(int) + int(rng.integers(-3, 4)):
+                other[at] = "q" if other[at] != "q" else "w"
+            a, b = fives(base), fives("".join(other))
+            if 0.75 <= len(a & b) / len(a | b) <= 0.80:
+                texts += [base, "".join(other)]
+                lengths.append(length)
+                made += 1
+    head = {r.doc_id: r.rep_doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for length in sorted(set(lengths)):
+        pairs = [2 * k for k, n in enumerate(lengths) if n == length]
+        assert sum(head[a + 1] == a for a in pairs) >= 0.9 * len(pairs), (length, sum(head[a + 1] == a for a in pairs), len(pairs))
+
+
+def test_lines_without_doc_id(spark):
+    """They are one document, which comes first: a similar line of another document goes, theirs stay at their number."""
+    texts = [f"{'alpha beta gamma delta epsilon zeta eta theta'} number {i} of the rows\nshort" for i in range(40)]
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(None, t) for t in texts] + [(5, texts[0].replace("number 0", "number x"))], "doc_id long, text string")).collect()
+    assert len(rows) == 82 and all(r.rep_doc_id is None and r.kept for r in rows if r.doc_id is None)
+    assert [(r.rep_doc_id, r.rep_line_no, r.kept) for r in rows if r.doc_id == 5 and r.line_no == 0] == [(None, 0, False)]
+
+
 @pytest.mark.parametrize("tokens", [1, 3, 5, 10, 40])
 def test_short_documents_need_no_padding(tokens):
     pieces = [packing.Piece(i, 0, tokens, tokens, np.arange(tokens, dtype="<u4")) for i in range(8000)]
