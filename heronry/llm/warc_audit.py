@@ -11,7 +11,8 @@ where they begin: a missing or surplus record changes its own node alone, not al
 are matched by content; what is left over on both sides at one page_id and url is corrupt, the rest is missing or surplus.
 
 Records travel as hash, length and id: their bytes stay in the task that reads them. Identical records of one page are counted
-at the map side and stored once (`copies`). Null page_id goes to one of 1024 negative archives by url, which a fault of the html does
+at the map side and stored once with their number (`copies`), which is part of the leaf: a lost or added copy is a row of its own with
+the number of copies that differ. Null page_id goes to one of 1024 negative archives by url, which a fault of the html does
 not change; null url or html counts as empty; empty tables give an empty result; other columns are ignored.
 """
 
@@ -67,9 +68,9 @@ def stored(recs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def nodes(recs: DataFrame) -> DataFrame:
     """archive, part, node, start, stop (its offset range) and hash."""
-    leaves = F.array_sort(F.collect_list(F.struct("page_id", "url_md5", "digest")))
+    leaves = F.array_sort(F.collect_list(F.struct("page_id", "url_md5", "digest", "copies")))
     ranges = recs.groupBy("archive", "part", "node").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sum("length").alias("bytes"), leaves.alias("leaves"))
-    text = F.concat_ws("|", F.col("bytes"), F.concat_ws(",", F.transform("leaves", lambda x: F.concat_ws(" ", x.page_id, x.url_md5, x.digest))))
+    text = F.concat_ws("|", F.col("bytes"), F.concat_ws(",", F.transform("leaves", lambda x: F.concat_ws(" ", x.page_id, x.url_md5, x.digest, x.copies))))
     return ranges.select("archive", "part", "node", "start", "stop", F.sha2(text.cast("binary"), 256).alias("hash"))
 
 
@@ -95,17 +96,22 @@ def located(left: DataFrame, right: DataFrame) -> DataFrame:
     suspects = [persisted(side.join(bad, ["archive", "part", "node"], "left_semi"), "suspects") for side in (a, b)]
 
     def alone(side: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        """Records of one replica that the other lacks, numbered within their page and url."""
-        known = other.select(*[F.col(c).alias(f"other_{c}") for c in RECORD])
+        """Records of which one replica has more copies than the other, with how many more, numbered within their page and url."""
+        known = other.select(*[F.col(c).alias(f"other_{c}") for c in (*RECORD, "copies")])
         same = [F.col(c).eqNullSafe(F.col(f"other_{c}")) for c in RECORD]
-        left_over = side.join(known, same, "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE).orderBy("digest")))
+        more = side.join(known, same, "left").withColumn("copies", F.col("copies") - F.coalesce("other_copies", F.lit(0))).filter("copies > 0")
+        left_over = more.withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE).orderBy("digest")))
         return left_over.select(*[F.col(c).alias(f"{c}_{name}") for c in ("part", *RECORD, "offset", "copies", "nth")])
 
     x, y = alone(*suspects, "a"), alone(*suspects[::-1], "b")
     both = x.join(y, [F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in (*PAGE, "nth")], "full_outer")
-    status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "surplus").otherwise("corrupt")
-    pick = lambda c: F.when(F.col("digest_a").isNull(), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c)
-    return both.select(pick("archive"), pick("part"), pick("page_id"), pick("offset"), pick("length"), pick("copies"), F.col("digest_a").alias("expected_sha256"), F.col("digest_b").alias("found_sha256"), status.alias("status"))
+    sound, found = F.coalesce("copies_a", F.lit(0)), F.coalesce("copies_b", F.lit(0))
+    kinds = [("corrupt", F.least(sound, found)), ("missing", sound - found), ("surplus", found - sound)]
+    told = both.withColumn("k", F.explode(F.array(*[F.struct(F.lit(status).alias("status"), copies.alias("copies")) for status, copies in kinds]))).filter("k.copies > 0")
+    own = F.col("k.status") == "surplus"
+    pick = lambda c: F.when(own, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(c)
+    expected, seen = F.when(~own, F.col("digest_a")), F.when(F.col("k.status") != "missing", F.col("digest_b"))
+    return told.select(pick("archive"), pick("part"), pick("page_id"), pick("offset"), pick("length"), F.col("k.copies").alias("copies"), expected.alias("expected_sha256"), seen.alias("found_sha256"), F.col("k.status").alias("status"))
 
 
 def faulty(html: Column, url: Column) -> Column:
@@ -115,9 +121,15 @@ def faulty(html: Column, url: Column) -> Column:
 
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit a replica with known faults against the sound one, over all pages."""
+    """Audit a replica with known faults against the sound one, over all pages.
+
+    Besides the changed pages, the sound replica has two copies of every page whose url's SHA-256 begins with 1, of which the other has
+    lost one, and the other has two of those whose digest begins with 2.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return located(records(pages), records(pages, faulty(F.col("html"), F.col("url"))))
+    mark = F.substring(F.sha2(F.coalesce("url", F.lit("")).cast("binary"), 256), 1, 1)
+    twice = lambda digit: pages.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(mark == digit, 2).otherwise(1))))
+    return located(records(twice("1")), records(twice("2"), faulty(F.col("html"), F.col("url"))))
 
 
 OP10_SQL = """
@@ -126,10 +138,10 @@ WITH r AS (
          CASE WHEN substr(sha256(coalesce(url, '')), 1, 1) = '0' AND length(html) > 0 THEN '~' || substr(html, 2) ELSE coalesce(html, '') END AS bad
   FROM pages),
 t AS (
-  SELECT page_id, md5(coalesce(url, '')) AS url_md5, v.kind, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
+  SELECT page_id, md5(coalesce(url, '')) AS url_md5, v.kind, unnest(range(CASE WHEN substr(sha256(coalesce(url, '')), 1, 1) = v.twice THEN 2 ELSE 1 END)) AS copy, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(v.body)::VARCHAR
     || chr(13) || chr(10) || chr(13) || chr(10) || v.body || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM r, LATERAL (SELECT 'a' AS kind, good AS body UNION ALL SELECT 'b', bad) v),
+  FROM r, LATERAL (SELECT 'a' AS kind, good AS body, '1' AS twice UNION ALL SELECT 'b', bad, '2') v),
 d AS (
   SELECT kind, coalesce(floor(page_id / 256.0)::BIGINT, -1 - ('0x' || substr(url_md5, 1, 8))::BIGINT % 1024) AS archive, page_id, url_md5,
          strlen(record)::BIGINT AS length, sha256(record) AS digest, count(*)::BIGINT AS copies
@@ -139,13 +151,15 @@ p AS (SELECT d.*, coalesce(('0x' || substr(digest, 1, 8))::BIGINT % parts, 0) AS
 o AS (
   SELECT *, (sum(length) OVER w - length)::BIGINT AS "offset"
   FROM p WINDOW w AS (PARTITION BY kind, archive, part ORDER BY page_id NULLS FIRST, url_md5, digest ROWS UNBOUNDED PRECEDING)),
-u AS (
-  SELECT *, row_number() OVER (PARTITION BY kind, archive, page_id, url_md5 ORDER BY digest) AS nth FROM o x
-  WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.kind <> x.kind AND y.archive = x.archive AND y.page_id IS NOT DISTINCT FROM x.page_id
-    AND y.url_md5 = x.url_md5 AND y.length = x.length AND y.digest = x.digest))
-SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.part, b.part) AS part, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a."offset", b."offset") AS "offset",
-       coalesce(a.length, b.length) AS length, coalesce(a.copies, b.copies) AS copies, a.digest AS expected_sha256, b.digest AS found_sha256,
-       CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'surplus' ELSE 'corrupt' END AS status
-FROM (SELECT * FROM u WHERE kind = 'a') a FULL JOIN (SELECT * FROM u WHERE kind = 'b') b
-  ON a.archive = b.archive AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.url_md5 = b.url_md5 AND a.nth = b.nth
+m AS (
+  SELECT x.* EXCLUDE (copies), x.copies - coalesce(y.copies, 0) AS more FROM o x LEFT JOIN o y ON y.kind <> x.kind AND y.archive = x.archive AND y.page_id IS NOT DISTINCT FROM x.page_id
+    AND y.url_md5 = x.url_md5 AND y.length = x.length AND y.digest = x.digest),
+u AS (SELECT *, row_number() OVER (PARTITION BY kind, archive, page_id, url_md5 ORDER BY digest) AS nth FROM m WHERE more > 0),
+b AS (
+  SELECT a.* RENAME (more AS more_a, digest AS digest_a), b.archive AS archive_b, b.part AS part_b, b.page_id AS page_id_b, b."offset" AS offset_b, b.length AS length_b, b.digest AS digest_b, b.more AS more_b
+  FROM (SELECT * FROM u WHERE kind = 'a') a FULL JOIN (SELECT * FROM u WHERE kind = 'b') b
+    ON a.archive = b.archive AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.url_md5 = b.url_md5 AND a.nth = b.nth)
+SELECT archive, part, page_id, "offset", length, least(more_a, more_b) AS copies, digest_a AS expected_sha256, digest_b AS found_sha256, 'corrupt' AS status FROM b WHERE more_a IS NOT NULL AND more_b IS NOT NULL
+UNION ALL SELECT archive, part, page_id, "offset", length, more_a - coalesce(more_b, 0), digest_a, NULL, 'missing' FROM b WHERE more_a > coalesce(more_b, 0)
+UNION ALL SELECT archive_b, part_b, page_id_b, offset_b, length_b, more_b - coalesce(more_a, 0), NULL, digest_b, 'surplus' FROM b WHERE more_b > coalesce(more_a, 0)
 """

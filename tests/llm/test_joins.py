@@ -188,3 +188,17 @@ def test_leaks_equal_brute_force(spark):
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(b, " ".join(t)) for b, t in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == want and len(want) > 40
+
+
+def test_lost_and_added_copies_are_rows(spark):
+    rows = [(i, f"u{i}", f"text {i}") for i in range(40)]
+    sound = warc_audit.records(pages(spark, rows + rows[7:8] * 2 + rows[9:10]))
+    audited = rows[:3] + rows[3:4] * 3 + rows[4:7] + rows[7:8] + rows[8:9] + [(9, "u9", "other")] + rows[9:]
+    got = {(r.page_id, r.status, r.copies) for r in warc_audit.located(sound, warc_audit.records(pages(spark, audited))).collect()}
+    assert got == {(3, "surplus", 2), (7, "missing", 2), (9, "corrupt", 1)}
+
+
+def test_one_of_two_copies_lost_is_one_row(spark):
+    rows = [(i, f"u{i}", "x") for i in range(40)] + [(5, "u5", "x")]
+    got = warc_audit.located(warc_audit.records(pages(spark, rows)), warc_audit.records(pages(spark, rows[:-1]))).collect()
+    assert [(r.page_id, r.status, r.copies, r.found_sha256) for r in got] == [(5, "missing", 1, None)]
