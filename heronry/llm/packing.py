@@ -13,15 +13,17 @@ an empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heronry.llm.common import id_and_text, lean, small_batches, table
 from heronry.llm.pretokens import frequent_chunks, tokenizer_path, worker_cache
+from heronry.llm.token_counts import token_counts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -178,26 +180,43 @@ def _emit(sequences: Iterator[list[Piece]], partition: int, rows: int = 20_000)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
 
-def pack_examples(examples: DataFrame, limits: Limits, count_loss: Callable[[dict], int] | None = None) -> DataFrame:
-    """Whole (never cut) instruction examples with columns example_id, n_tokens, n_loss: rows (example_id, sequence_id, offset).
+def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:
+    """Whole (never cut) instruction examples with columns example_id, n_tokens, n_loss: rows (example_id, sequence_id, offset, status).
 
-    Rows with a null or non-positive n_tokens have nothing to place and are left out; a null n_loss counts as n_tokens. An
-    example beyond a limit raises an error.
+    An example beyond a limit is a row without sequence, status over-limit; all others are packed. Rows with a null or non-positive
+    n_tokens have nothing to place and are empty; a null n_loss counts as n_tokens. Repeated rows are packed each.
     """
-    rows = examples.selectExpr("cast(example_id as long) example_id", "cast(n_tokens as long) n_tokens", "cast(coalesce(n_loss, n_tokens) as long) n_loss").filter("n_tokens > 0")
+    counted = examples.selectExpr("cast(example_id as long) example_id", "cast(coalesce(n_tokens, 0) as long) n_tokens", "cast(coalesce(n_loss, n_tokens, 0) as long) n_loss")
+    status = F.when(F.col("n_tokens") <= 0, "empty").when((F.col("n_tokens") > limits.tokens) | (F.col("n_loss") > limits.loss_tokens), "over-limit").otherwise("packed")
+    schema = "example_id long, sequence_id long, offset long, status string"
 
     def pack(batches):
         from pyspark import TaskContext
 
+        rest: list[tuple] = []  # of one batch
+
         def pieces():
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield _Counted(row["example_id"], 0, row["n_tokens"], row["n_tokens"], marked=row["n_loss"])
+                    if row["status"] == "packed":
+                        yield _Counted(row["example_id"], 0, row["n_tokens"], row["n_tokens"], marked=row["n_loss"])
+                    else:
+                        rest.append((row["example_id"], row["status"]))
+
+        def aside():
+            out, rest[:] = list(rest), []
+            none = pa.nulls(len(out), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), none, none, pa.array([s for _, s in out], pa.string())], names=["example_id", "sequence_id", "offset", "status"])
 
-        for batch in _emit(pack_pieces(pieces(), limits, cut=False), TaskContext.get().partitionId()):
-            yield batch.select(["doc_id", "sequence_id", "offset"]).rename_columns(["example_id", "sequence_id", "offset"])
+        for batch in _emit(pack_pieces(pieces(), limits, cut=False), TaskContext.get().partitionId(), 2000):
+            placed = batch.select(["doc_id", "sequence_id", "offset"]).rename_columns(["example_id", "sequence_id", "offset"])
+            yield placed.append_column("status", pa.array(["packed"] * len(placed), pa.string()))
+            if rest:
+                yield aside()
+        if rest:
+            yield aside()
 
-    return rows.mapInArrow(pack, "example_id long, sequence_id long, offset long")
+    return counted.withColumn("status", status).mapInArrow(pack, schema)
 
 
 @dataclass
@@ -212,3 +231,21 @@ class _Counted(Piece):
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+#: Limits of packed conversations: tokens, conversations, and assistants' tokens of a sequence.
+CONVERSATIONS = Limits(4096, 4, 3072)
+
+
+def conversation_examples(turns: DataFrame, path: str) -> DataFrame:
+    """example_id, n_tokens, n_loss of every conversation: all its tokens, and those of the assistant's turns."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("doc_id"), "text", F.coalesce("role", F.lit("")).alias("role"))
+    counted = lambda part: token_counts(part, path).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
+    whole, loss = counted(rows), counted(rows.filter("role = 'assistant'")).withColumnRenamed("n", "loss").withColumnRenamed("doc_id", "other")
+    joined = whole.join(loss, F.col("doc_id").eqNullSafe(F.col("other")), "left")
+    return joined.select(F.col("doc_id").alias("example_id"), F.col("n").alias("n_tokens"), F.coalesce("loss", F.lit(0)).alias("n_loss"))
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, whole, into sequences under three limits of which each binds somewhere."""
+    return pack_examples(conversation_examples(table(spark, sf_dir, "conversations"), tokenizer_path()), CONVERSATIONS)

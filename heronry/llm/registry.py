@@ -9,7 +9,7 @@ from heronry.llm.jaccard_join import op8_ngram_jaccard_join
 from heronry.llm.licences import op1_license_scans
 from heronry.llm.line_dedup import op7_line_dedup
 from heronry.llm.media import op2_media_columns
-from heronry.llm.packing import op6_packing
+from heronry.llm.packing import op6_packing, packed_conversations
 from heronry.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from heronry.llm.quality import op4_quality_classifier
 from heronry.llm.substrings import OP13_SQL, op13_substring_dedup
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_substring_dedup": op13_substring_dedup,
+    "packed_conversations": packed_conversations,
     "pipeline": corpus_pipeline.run,
 }
 
