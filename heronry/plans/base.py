@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType, TimestampType
+
+from heronry.functions.calendar import iso
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -36,3 +39,16 @@ def both(name: str, sql: str, duck: str | None = None, tables: str = "") -> None
     for n in names:
         text = text.replace("{" + n + "}", n)
     query(name, text)(run)
+
+
+def shown(value: Column, kind: DataType) -> Column:
+    """A value as text: arrays joined by |, structs as JSON, instants in ISO form, null as ~."""
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType):
+        text = F.array_join(value, "|")
+    elif isinstance(kind, (ArrayType, StructType)):
+        text = F.to_json(value)
+    elif isinstance(kind, TimestampType):
+        text = iso(value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit("~"))

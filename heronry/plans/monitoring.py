@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from heronry.functions import documents as D
 from heronry.operators import monitoring as M
 from heronry.plans.base import query, table
-from heronry.plans.cases import cases
 
 col = F.col
 NOW = "2024-01-20 12:00:00"
@@ -17,23 +16,6 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-cases("jsn_01_canonical", "x string", lambda: D.canonical("x"), [('{"b": 1, "a": {"d": [2, 1], "c": null}}', '{"a":{"c":null,"d":[2,1]},"b":1}'), ("[3, 1]", "[3,1]"), ("{broken", "~"), ("", "~")])
-cases("jsn_03_model_json", "x string", lambda: D.model_json("x"), [('Sure:\n```json\n{"topic": "a"}\n```', '{"topic":"a"}'), ("[1, 2] done", "[1,2]"), ("no json", "~"), ("{half", "~")])
-cases("jsn_04_classification", "x string", lambda: D.classification("x", ["core", "docs"]), [
-    ('{"topic":"core","confidence":0.8,"routine":true}', '{"topic":"core","confidence":0.8,"routine":true}'), ('{"topic":"new","confidence":1}', '{"topic":"other","confidence":0.0,"routine":false}'), ("?", '{"topic":"other","confidence":0.0,"routine":false}'), ('{"topic":"docs","confidence":7}', '{"topic":"docs","confidence":1.0,"routine":false}'),
-])
-cases("jsn_05_likeliest", "x array<double>", lambda: D.likeliest(col("x"), ["a", "b", "canary"], "canary"), [([0.2, 0.7, 0.1], "b"), ([0.1, 0.2, 0.7], "~"), ([0.4, 0.2, 0.4], "a")])
-cases("jsn_06_path", "x string", lambda: D.at_path("x", "a.b[1]"), [('{"a":{"b":[1,"two"]}}', "two"), ('{"a":{}}', "~"), ("no", "~")])
-cases("jsn_08_bytes", "x string, y int", lambda: F.hex(F.to_json(F.struct("x", "y")).cast("binary")), [("é", 1, "7B2278223A22C3A9222C2279223A317D")])
-cases("str_17_tally", "x int, y int, z boolean", lambda: D.tally_text(col("x"), col("y"), 3, F.lit(0), col("z")), [(4, 3, True, "+1 × 4 · binding 3 of 3"), (2, 1, False, "seen +1 × 2 · binding ≥ 1 of 3")])
-cases("str_24_first_rule", "x string", lambda: D.first_rule("x", [("build", r"(?i)\b(?:gradle|build)\b"), ("client", r"(?i)\bclient\b")]), [("Gradle client bump", "build"), ("New client", "client"), ("else", "other")])
-cases("str_26_rejection", "x string, y array<string>", lambda: D.rejection("x", col("y"), 20), [("Fine text", ["c"], "~"), ("Fine text", [], "uncited"), ("This should go", ["c"], "stance"), ("x" * 21, ["c"], "length"), (" ", ["c"], "length")])
-cases("str_27_completion", "x string", lambda: D.completion_form("x", ["was merged", "shipped"], ["may", "will"]), [("It was merged today", "was merged"), ("It may have shipped; it Shipped", "shipped"), ("it will have shipped", "~"), ("no", "~")])
-cases("str_40_rendered", "x string, y array<string>", lambda: D.rendered(col("x"), col("y"), 2, 5), [("T", ["abcdefg", "b", "c"], "T\n- abcd…\n- b\n… 1 more"), ("T", [], "T")])
-cases("ops_12_continuation", "x int, y int, z string", lambda: M.continuation(col("x"), col("y"), F.to_timestamp(col("z")), _now(), 60), [(5, 5, None, "~"), (4, 5, None, "2024-01-20T12:00:00.000Z"), (4, 5, "2024-01-20 11:30:00", "2024-01-20T12:30:00.000Z"), (4, 5, "2024-01-19 11:30:00", "2024-01-20T12:00:00.000Z")])
-cases("ops_13_halves", "x array<string>, y boolean", lambda: F.to_json(M.halves(col("x"), col("y"))), [(["a", "b", "c"], True, '[["a","b"],["c"]]'), (["a"], True, "[]"), (["a", "b"], False, "[]")])
-cases("ops_16_cache", "x string, y boolean", lambda: M.cache_source(F.to_timestamp(col("x")), col("y"), _now()), [("2024-01-20 01:00:00", False, "cache"), ("2024-01-18 01:00:00", True, "fetch"), ("2024-01-18 01:00:00", False, "stale"), (None, False, "none")])
-cases("ops_20_months", "x string, y string", lambda: M.month_span(F.to_timestamp(col("x")), F.to_timestamp(col("y"))), [("2023-11-30", "2024-01-01", "2023-11|2023-12|2024-01"), ("2024-02-01", "2024-01-01", "")])
 
 RUNS = "r AS (SELECT event_type || user_id % 4 AS job, ts AS tm, value > 100 AS ok FROM events)"
 STATES = f"""{RUNS},

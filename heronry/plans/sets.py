@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from heronry.functions import wording as W
 from heronry.operators import records as R
 from heronry.plans.base import query, table
-from heronry.plans.cases import cases
 
 col = F.col
 NOW = "2024-02-01 00:00:00"
@@ -53,12 +52,6 @@ def status_breakdown(spark, sf_dir):
     return queue(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("agg_44_style_counts", "SELECT 3::BIGINT AS sentences, 1::BIGINT AS person_led, 1::BIGINT AS content_free")
-def style_counts(spark, sf_dir):
-    rows = spark.createDataFrame([("Ada asked for a second review",), ("KIP-1 is merged",), ("Compression gains a third codec",)], "s string")
-    return rows.agg(F.count("*").alias("sentences"), F.count_if(W.person_led("s")).alias("person_led"), F.count_if(W.content_free("s")).alias("content_free"))
-
-
 @query("set_05_unique", "SELECT DISTINCT source, lang, sha256(source || lang) AS content FROM documents")
 def unique(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "lang", F.concat("source", "lang").alias("key"), F.sha2(F.concat("source", "lang"), 256).alias("content"))
@@ -78,7 +71,6 @@ def parity(spark, sf_dir):
     return spark.createDataFrame([(equal(docs.repartition(5).select("lang", "text", "doc_id")), equal(docs.withColumn("text", F.when(col("doc_id") == 3, "x").otherwise(col("text")))))], "same boolean, other boolean")
 
 
-cases("set_03_identity", "x string, y string, z string", lambda: R.dedupe_identity("x", "y", "z") == R.dedupe_identity("y", "x", "z"), [("a", "a", "b", "true"), ("a", "b", "c", "false"), ("a:1", "", "", "false"), ("", None, "b", "true")])
 
 
 @query("srt_08_wait_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0) DESC, event_id)::INT AS place FROM events")
