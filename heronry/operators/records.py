@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronry.scratch import persisted
+from heronry.sources.listings import FlatThread
 
 
 def parent_roots(records: DataFrame, key: str, parent: str, scope: str, most: int = 40) -> DataFrame:
@@ -110,6 +111,8 @@ def merged_queue(found: DataFrame, previous: DataFrame, done: DataFrame, key: st
     return found.join(previous.select(key, F.col("state").alias("_was")), key, "left").join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left").select(key, "title", F.when(F.col("_done"), "done").otherwise(F.coalesce("_was", F.lit("new"))).alias("state"))
 
 
-def message_counts(trees: DataFrame, tree: str) -> DataFrame:
-    """Number of messages in thread trees, by the names of their ids at any depth."""
-    return trees.withColumn("messages", F.size(F.regexp_extract_all(tree, F.lit(r'"id"\s*:'), F.lit(0))))
+def message_counts(trees: DataFrame, thread: str, tree: str) -> DataFrame:
+    """thread, messages: the messages of each thread's tree, at any depth; ids of other objects in it count for nothing."""
+    spark = trees.sparkSession
+    spark.udtf.register("heronry_flat_thread", FlatThread)
+    return spark.sql("SELECT t.thread, count(f.place) AS messages FROM {t} t LEFT JOIN LATERAL heronry_flat_thread(t.tree) f GROUP BY t.thread", t=trees.select(F.col(thread).alias("thread"), F.col(tree).alias("tree")))

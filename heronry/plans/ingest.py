@@ -45,13 +45,6 @@ def page_union(spark, sf_dir):
     return L.page_union(rows).select("number", "event_id")
 
 
-@query("src_13_thread_tree", "SELECT * FROM (VALUES (1, 0, 0, 'a', 'root'), (1, 1, 1, 'b', 'reply'), (1, 2, 2, 'd', 'deep'), (1, 1, 3, 'c', NULL), (2, 0, 0, 'x', 'alone')) t(thread, depth, place, id, body)")
-def thread_tree(spark, sf_dir):
-    trees = [(1, '{"id":"a","body":"root","children":[{"id":"b","body":"reply","children":[{"id":"d","body":"deep"}]},{"id":"c"}]}'), (2, '{"id":"x","body":"alone","children":[]}'), (3, None)]
-    spark.udtf.register("flat_thread", L.FlatThread)
-    return spark.sql("SELECT thread, f.* FROM {t}, LATERAL flat_thread(tree) f", t=spark.createDataFrame(trees, "thread int, tree string"))
-
-
 @query(
     "src_14_roster",
     """WITH r AS (SELECT DISTINCT o_custkey AS login, 'committer' AS role FROM orders WHERE o_orderstatus <> 'P' UNION SELECT DISTINCT o_custkey, 'pmc' FROM orders WHERE o_orderstatus = 'P')
@@ -65,24 +58,6 @@ def roster(spark, sf_dir):
     return L.roster(projects, people).withColumn("roles", F.array_join("roles", ","))
 
 
-@query("src_15_committers", "SELECT * FROM (VALUES ('Ada Ito', 'ada'), ('Bo Li', 'boli')) t(name, login)")
-def committers(spark, sf_dir):
-    html = '<tr><td>Ada Ito </td><td><a href="https://h/ada">ada</a></td></tr><tr><td> Bo Li</td><td><a href="https://h/boli">boli</a></td></tr>'
-    return L.committers(spark.createDataFrame([(html,)], "html string"), "html", r"<tr><td>([^<]+)</td><td><a[^>]*>([^<]+)</a>")
-
-
-@query("src_18_proposal_links", "SELECT * FROM (VALUES (1, 'KIP-1 A long title'), (22, 'KIP-22 Other')) t(number, title)")
-def proposal_links(spark, sf_dir):
-    pages = [('<a href="/KIP-1+A">KIP-1 A</a><a href="/x">KIP-22 Other</a>',), ('<li>KIP-1 A long title</li>',)]
-    return L.proposal_links(spark.createDataFrame(pages, "html string"), "html", [r">KIP-(\d+)( [^<]+)</a>", r"<li>KIP-(\d+)( [^<]+)</li>"]).withColumn("title", F.concat(F.lit("KIP-"), "number", F.lit(" "), "title"))
-
-
-@query("src_09_review_page", "SELECT * FROM (VALUES (1, 'r1', 'APPROVED', 'ada'), (1, 'r2', 'COMMENTED', NULL)) t(number, id, state, author)")
-def review_page(spark, sf_dir):
-    body = '{"data":{"repository":{"nodes":[{"number":1,"reviews":[{"id":"r1","state":"APPROVED","author":"ada"},{"id":"r2","state":"COMMENTED"}]},{"number":2,"reviews":[{"id":"r3","state":"APPROVED"}]}]}},"errors":[{"path":["repository","nodes","1"],"message":"gone"}]}'
-    return L.review_page(spark.createDataFrame([(body,)], "body string"), "body")
-
-
 @query("src_19_changed_pages", "SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'drifted' END AS change FROM pages WHERE page_id % 5 <> 0 OR page_id % 3 = 0")
 def changed_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
@@ -91,20 +66,6 @@ def changed_pages(spark, sf_dir):
     return L.changed_pages(state, pages.withColumn("version", 10 + step))
 
 
-@query("src_17_front_matter", "SELECT * FROM (VALUES ('a.md', 'k1', 'Title: one', 'What it is.', 'k2'), ('b.md', 'k2', 'Two', NULL, NULL)) t(path, id, title, summary, missing)")
-def vault(spark, sf_dir):
-    texts = [("a.md", "---\nid: k1\ntitle: Title: one\nrelated: k2, k1\n---\n# Head\n\n## Summary\nWhat it is.\n\n## More\nx\n"), ("b.md", "---\nid: k2\ntitle: Two\nrelated:\n---\nno sections\n")]
-    files = L.front_matter(spark.createDataFrame(texts, "path string, body string"), "body")
-    linked = files.select("path", F.split(F.col("fields")["related"], r"\s*,\s*")[0].alias("first"))
-    return files.join(linked, "path").select("path", F.col("fields")["id"].alias("id"), F.col("fields")["title"].alias("title"), F.col("sections")["Summary"].alias("summary"), F.nullif("first", F.lit("")).alias("missing"))
-
-
-@query("src_17_unresolved", "SELECT 'a.md' AS path, 'k9' AS id")
-def unresolved(spark, sf_dir):
-    texts = [("a.md", "---\nid: k1\nrelated: k2, k9\n---\n"), ("b.md", "---\nid: k2\nrelated:\n---\n")]
-    return L.unresolved(L.front_matter(spark.createDataFrame(texts, "path string, body string"), "body"))
-
-
 @query("src_23_key_ranges", "SELECT page_id, CASE WHEN url < 'http://m' THEN 0 WHEN url < 'http://t' THEN 1 ELSE 2 END AS part FROM pages WHERE url >= 'http://'")
 def key_ranges(spark, sf_dir):
     ranges = P.key_ranges("http://", ["t", "m"])

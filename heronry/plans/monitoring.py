@@ -58,13 +58,6 @@ def spend_gate(spark, sf_dir):
     return M.spend_gate(calls, "user_id", "event_id", 300.0).select("event_id", "allowed")
 
 
-@query("ops_15_golden_issues", "SELECT * FROM (VALUES ('q2', 'nothing relevant'), ('q9', 'unknown query'), ('q1', 'unknown chunk'), ('q2', 'grade')) t(query, issue)")
-def golden_issues(spark, sf_dir):
-    queries = spark.createDataFrame([("q1",), ("q2",)], "query string")
-    judged = spark.createDataFrame([("q1", "c1", 3), ("q1", "c9", 1), ("q2", "c1", 0), ("q2", "c2", -1), ("q9", "c1", 2)], "query string, chunk string, grade int")
-    return M.golden_issues(queries, judged, spark.createDataFrame([("c1",), ("c2",)], "chunk string"))
-
-
 @query("ops_17_reused", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN n_chars ELSE n_chars + 1 END AS n, doc_id % 4 = 0 AS reused FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 3 <> 0")
 def reused(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n"))
@@ -78,26 +71,7 @@ def refreshed(spark, sf_dir):
     return M.refreshed(pages, pages.filter("page_id % 7 = 0").withColumn("url", F.upper("url")), "page_id", 1_000_000)
 
 
-@query("ops_23_graded", "SELECT * FROM (VALUES ('a', 0.5, 1.0), ('b', 0.0, NULL), ('c', NULL, 0.0)) t(\"case\", recall, precision)")
-def graded(spark, sf_dir):
-    found = spark.createDataFrame([("a", "x"), ("a", "x"), ("c", "z")], "case string, evidence string")
-    return M.graded(found, spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "case string, evidence string"))
-
-
-@query("ops_24_sections", "SELECT * FROM (VALUES ('p1', 'no section Undo'), ('p1', 'no target Other')) t(book, issue)")
-def sections(spark, sf_dir):
-    books = spark.createDataFrame([("p1",), ("p2",)], "book string")
-    held = spark.createDataFrame([("p1", "Steps"), ("p2", "Steps"), ("p2", "Undo")], "book string, section string")
-    return M.section_issues(books, held, spark.createDataFrame([("p1", "Steps"), ("p1", "Other")], "book string, target string"), ["Steps", "Undo"])
-
-
 @query("ops_26_lag_notes", "SELECT event_type AS source, (floor((epoch_us(TIMESTAMP '2024-02-10') - epoch_us(max(ts))) / 86400000000.0))::BIGINT || ' days behind' AS note FROM events GROUP BY event_type")
 def lag_notes(spark, sf_dir):
     newest = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("newest"))
     return M.lag_notes(newest, F.lit("2024-02-10").cast("timestamp"))
-
-
-@query("ops_27_link_issues", "SELECT * FROM (VALUES ('a', 'a', 'self'), ('a', 'z', 'unknown'), ('a', 'b', 'repeat'), ('b', 'a', 'repeat')) t(a, b, issue)")
-def link_issues(spark, sf_dir):
-    declared = spark.createDataFrame([("a", "a"), ("a", "z"), ("a", "b"), ("b", "a"), ("b", "c")], "a string, b string")
-    return M.link_issues(declared, spark.createDataFrame([("a",), ("b",), ("c",)], "id string"))

@@ -68,15 +68,6 @@ def trusted(spark, sf_dir):
 # --- identities --------------------------------------------------------------------------------------------------------------------
 
 
-@query("gra_04_identity_links", "SELECT * FROM (VALUES ('g:a', 'g:a', false), ('j:a', 'g:a', false), ('m:a', 'g:a', false), ('g:b', 'g:b', true), ('g:c', 'g:c', true), ('m:b', 'm:b', true), ('g:d', 'g:d', false), ('g:d2', 'g:d', false), ('j:e', 'j:e', false)) t(id, person, conflict)")
-def identity_links(spark, sf_dir):
-    ids = ["g:a", "j:a", "m:a", "g:b", "g:c", "m:b", "g:d", "g:d2", "j:e"]
-    identities = spark.createDataFrame([(i, i[0]) for i in ids], "id string, source string")
-    declared = spark.createDataFrame([("g:a", "j:a"), ("g:d", "g:d2")], "a string, b string")
-    seen = spark.createDataFrame([("j:a", "m:a"), ("g:b", "m:b"), ("g:c", "m:b")], "a string, b string")
-    return N.identity_links(identities, declared, seen)
-
-
 @query("gra_05_newest_facts", "SELECT user_id, substr(max(strftime(ts, '%Y-%m') || event_type), 8) AS event_type FROM events GROUP BY user_id")
 def newest_facts(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))

@@ -20,12 +20,6 @@ def parent_roots(spark, sf_dir):
     return R.parent_roots(rows, "id", "parent", "scope")
 
 
-@query("joi_03_faulty_chains", "SELECT * FROM (VALUES (1, 1, 'ok'), (2, 1, 'ok'), (3, 1, 'ok'), (4, NULL, 'cycle'), (5, NULL, 'cycle'), (6, NULL, 'cycle'), (7, NULL, 'missing'), (8, NULL, 'scope'), (9, NULL, 'missing')) t(id, root, state)")
-def faulty_chains(spark, sf_dir):
-    rows = [(1, None, "a"), (2, 1, "a"), (3, 2, "a"), (4, 5, "a"), (5, 4, "a"), (6, 4, "a"), (7, 99, "a"), (8, 1, "b"), (9, 7, "a")]
-    return R.parent_roots(spark.createDataFrame(rows, "id int, parent int, scope string"), "id", "parent", "scope")
-
-
 @query("joi_19_rostered", "SELECT user_id, user_id % 6 IN (SELECT c_custkey % 6 FROM customer WHERE c_custkey % 9 = 4) AS binding FROM (SELECT DISTINCT user_id FROM events)")
 def rostered(spark, sf_dir):
     votes = table(spark, sf_dir, "events").select("user_id", (col("user_id") % 6).alias("name_key")).distinct()
@@ -98,9 +92,3 @@ def geometric(spark, sf_dir):
 )
 def neighbours(spark, sf_dir):
     return R.nearest_others(table(spark, sf_dir, "embeddings"), "vec_id", "label", 2).select("vec_id", "other", F.round("score", 5).alias("score"))
-
-
-@query("ops_22_message_counts", "SELECT * FROM (VALUES (1, 4), (2, 1)) t(thread, messages)")
-def message_counts(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '{"id":"a","children":[{"id":"b","children":[{"id":"d"}]},{"id":"c"}]}'), (2, '{"id": "x"}')], "thread int, tree string")
-    return R.message_counts(rows, "tree").select("thread", "messages")
