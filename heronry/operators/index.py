@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heronry.functions import lexical as L
 from heronry.operators import search as S
+from heronry.scratch import persisted
 
 SHARDS = 64
 
@@ -46,17 +47,24 @@ def term_score() -> Column:
     return S.idf(F.col("n"), F.col("df")) * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("length") / F.col("mean_length")))
 
 
+def scored(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """key, score of every document that holds a term: postings of the terms and stored statistics are all that is read.
+
+    Scores are rounded to nine decimals, so that equal texts tie whatever order their terms are summed in."""
+    return read_terms(spark, path, terms).groupBy("key").agg(F.round(F.sum(term_score()), 9).alias("score"))
+
+
 def search_index(spark: SparkSession, path: str, terms: list[str], k: int) -> DataFrame:
     """key, score of the k best documents, ties by key."""
-    scored = read_terms(spark, path, terms).groupBy("key").agg(F.sum(term_score()).alias("score"))
-    return scored.orderBy(F.desc("score"), "key").limit(k)
+    return scored(spark, path, terms).orderBy(F.desc("score"), "key").limit(k)
 
 
 def search_shards(spark: SparkSession, path: str, terms: list[str], k: int, parts: int = 8) -> DataFrame:
-    """The same in two phases: the k best of each part of the documents by global statistics, then of all."""
-    scored = read_terms(spark, path, terms).groupBy("key").agg(F.sum(term_score()).alias("score"))
-    part = lambda i: scored.filter(F.pmod("key", F.lit(parts)) == i).orderBy(F.desc("score"), "key").limit(k)
-    return reduce(DataFrame.unionByName, [part(i) for i in range(parts)]).orderBy(F.desc("score"), "key").limit(k)
+    """The same in two phases: the k best of each part of the documents by global statistics, in one pass, then of all."""
+    ranked = scored(spark, path, terms).withColumn("part", F.pmod("key", F.lit(parts)))
+    order = Window.partitionBy("part").orderBy(F.desc("score"), "key")
+    best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("key", "score").orderBy(F.desc("score"), "key").limit(k)
 
 
 EXACT_BOOST = 1000.0
@@ -74,24 +82,27 @@ def ranked_records(records: DataFrame, query: str, filters: S.Filters | None = N
     asked = spark.range(1).select(F.array_distinct(tokens(F.lit(query))).alias("t"), L.word_pairs(words(F.lit(query))).alias("p")).first()
     if not asked.t:
         return records.limit(0).select("record", F.lit(0.0).alias("score"), F.lit(False).alias("exact"))
-    own = F.concat(F.flatten(F.array_repeat(tokens(F.col("title")), TITLE)), tokens(F.col("body")), F.flatten(F.array_repeat(F.flatten(F.transform("tags", lambda t: tokens(t))), TAGS)), tokens(F.col("author")))
-    held = records.select("*", F.explode(F.array(own)).alias("own_terms"))
-    count = lambda term: F.size(F.filter("own_terms", lambda x: x == term))
-    counts = [count(t).alias(f"tf{i}") for i, t in enumerate(asked.t)]
-    rows = held.select(*[c for c in records.columns], F.size("own_terms").alias("length"), *counts)
-    sums = rows.filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked.t))]).first()
-    idf = {t: float(math.log(1 + (sums.n - sums[f"df{i}"] + 0.5) / (sums[f"df{i}"] + 0.5))) for i, t in enumerate(asked.t)}
-    norm = S.K1 * (1 - S.B + S.B * F.col("length") / F.lit(sums.mean_length or 1.0))
-    score = reduce(Column.__add__, [F.lit(idf[t]) * F.col(f"tf{i}") * (S.K1 + 1) / (F.col(f"tf{i}") + norm) for i, t in enumerate(asked.t)])
-    for pair in asked.p:
-        a, b = pair.split(" ")
-        if a in idf and b in idf:
-            in_title, in_body = (F.array_contains(L.word_pairs(words(F.col(c))), pair) for c in ("title", "body"))
-            weight = F.when(in_title, float(TITLE)).when(in_body, 1.0).otherwise(0.0)
-            both = (F.col(f"tf{asked.t.index(a)}") > 0) & (F.col(f"tf{asked.t.index(b)}") > 0)
-            score = score + F.when(both, weight * (idf[a] + idf[b]) / 2).otherwise(0.0)
-    matching = reduce(Column.__or__, [F.col(f"tf{i}") > 0 for i in range(len(asked.t))])
+    weights = {"title": TITLE, "body": 1, "tags": TAGS, "author": 1}
+    fields = F.struct(*[(F.flatten(F.transform("tags", lambda t: tokens(t))) if f == "tags" else tokens(F.col(f))).alias(f) for f in weights])
+    held = records.select("*", F.explode(F.array(fields)).alias("own"))
+    total = lambda of: reduce(Column.__add__, [F.lit(w) * of(F.col(f"own.{f}")) for f, w in weights.items()])
+    counts = [total(lambda c, t=t: F.size(F.filter(c, lambda x: x == t))).alias(f"tf{i}") for i, t in enumerate(asked.t)]
+    counted = held.select(*records.columns, total(F.size).alias("length"), *counts)
+    index = {t: i for i, t in enumerate(asked.t)}
+    pairs = [(a, b) for a, b in (p.split(" ") for p in asked.p) if a in index and b in index]
+    stands = lambda c, a, b: F.contains(F.concat(F.lit(" "), F.array_join(words(F.col(c)), " "), F.lit(" ")), F.lit(f" {a} {b} "))
+    # Words in reading order are only made where both terms of a pair stand.
+    bonus = [F.when((F.col(f"tf{index[a]}") > 0) & (F.col(f"tf{index[b]}") > 0), F.when(stands("title", a, b), float(TITLE)).when(stands("body", a, b), 1.0)).alias(f"pair{k}") for k, (a, b) in enumerate(pairs)]
     low = F.lit(query.strip().lower())
     exact = L.is_exact_query(F.lit(query)) & F.when(F.lit("-" in query), F.array_contains(tokens(F.col("title")), low)).otherwise(F.contains(F.lower("title"), low) | F.contains(F.lower("body"), low))
-    found = rows.filter(matching & (filters.column() if filters else F.lit(True)))
-    return found.select("record", (score + F.when(exact, EXACT_BOOST).otherwise(0.0)).alias("score"), exact.alias("exact"))
+    wanted = filters.column() if filters else F.lit(True)
+    tfs = [f"tf{i}" for i in range(len(asked.t))]
+    rows = persisted(counted.select("record", "length", *tfs, *bonus, exact.alias("exact"), wanted.alias("wanted")), "ranked")  # texts are read once
+    sums = rows.filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(t) > 0).alias(f"d{t}") for t in tfs]).first()
+    idf = [float(math.log(1 + (sums.n - sums[f"d{t}"] + 0.5) / (sums[f"d{t}"] + 0.5))) for t in tfs]
+    norm = S.K1 * (1 - S.B + S.B * F.col("length") / F.lit(sums.mean_length or 1.0))
+    score = reduce(Column.__add__, [F.lit(w) * F.col(t) * (S.K1 + 1) / (F.col(t) + norm) for w, t in zip(idf, tfs, strict=True)])
+    for k, (a, b) in enumerate(pairs):
+        score = score + F.coalesce(F.col(f"pair{k}"), F.lit(0.0)) * (idf[index[a]] + idf[index[b]]) / 2
+    found = rows.filter(F.expr(" OR ".join(f"{t} > 0" for t in tfs)) & F.col("wanted"))
+    return found.select("record", (score + F.when(F.col("exact"), EXACT_BOOST).otherwise(0.0)).alias("score"), "exact")

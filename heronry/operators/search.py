@@ -85,7 +85,7 @@ def bm25(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
     # one row each: a statistics row and at most as many df rows as the query has terms
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus_statistics(index, key)))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return scored.groupBy(key).agg(F.sum(part).alias("score"))
+    return scored.groupBy(key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def bm25_texts(docs: DataFrame, key: str, tokens: Column, terms: list[str]) -> DataFrame:
@@ -99,7 +99,7 @@ def bm25_texts(docs: DataFrame, key: str, tokens: Column, terms: list[str]) -> D
     norm = K1 * (1 - B + B * F.col("length") / F.lit(one.mean_length or 1.0))
     parts = [idf(F.lit(one.n), F.lit(one[f"df{i}"])) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(asked))]
     found = reduce(Column.__or__, [F.col(f"tf{i}") > 0 for i in range(len(asked))], F.lit(False))
-    return rows.filter(found).select(key, reduce(Column.__add__, parts, F.lit(0.0)).alias("score"))
+    return rows.filter(found).select(key, F.round(reduce(Column.__add__, parts, F.lit(0.0)), 9).alias("score"))
 
 
 def top(scored: DataFrame, key: str, k: int) -> DataFrame:

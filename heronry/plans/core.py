@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from heronry.functions import text as T
 from heronry.operators import events as E
+from heronry.operators import index as I
 from heronry.operators import search as S
 from heronry.operators.graph import connected_components
 from heronry.plans.base import both, query, table
+from heronry.plans.indexes import stored_index
 
 TERMS = ["the", "of", "license"]
 AS_OF = "2024-02-01 00:00:00"
@@ -24,19 +26,28 @@ stats AS (SELECT count(*) AS n, avg(length) AS mean_length FROM len),
 tf AS (SELECT doc_id, any_value(source) AS source, term, count(*) AS tf FROM tok WHERE term IN ('the', 'of', 'license') GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (
-  SELECT tf.doc_id, any_value(tf.source) AS source, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score
+  SELECT tf.doc_id, any_value(tf.source) AS source, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 9) AS score
   FROM tf JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN stats GROUP BY tf.doc_id)
 """
 
 
 def _scored(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scored = S.bm25_texts(docs, "doc_id", T.simple_tokens("text"), TERMS)
-    return scored.join(docs.select("doc_id", "source", "lang"), "doc_id")
+    """Scores from the stored index, with the columns of documents that groups and facets need."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return I.scored(spark, stored_index(spark, sf_dir), TERMS).withColumnRenamed("key", "doc_id").join(docs, "doc_id")
+
 
+BEST = f"WITH {TOKENS_CTE} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20"
 
-@query("sch_03_bm25_top20", f"WITH {TOKENS_CTE} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20")
+
+@query("sch_03_bm25_top20", BEST)
 def bm25_top(spark, sf_dir):
+    return I.search_index(spark, stored_index(spark, sf_dir), TERMS, 20).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("sch_06_whole_release", BEST)
+def whole_release(spark, sf_dir):
+    """The same over a release without an index: every text is read."""
     docs = table(spark, sf_dir, "documents")
     return S.top(S.bm25_texts(docs, "doc_id", T.simple_tokens("text"), TERMS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -140,11 +151,16 @@ def ranking_quality(spark, sf_dir):
     return S.evaluation(ranked, grades, "source", "doc_id").select("source", *[F.round(c, 5).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-@query("arr_01_weighted_terms", None)
+@query(
+    "arr_01_weighted_terms",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[a-z0-9]+') AS t, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS b FROM documents)
+    SELECT doc_id, term, sum(w)::BIGINT AS weight FROM (SELECT doc_id, unnest(t) AS term, 4 AS w FROM d UNION ALL SELECT doc_id, unnest(b), 1 FROM d) GROUP BY 1, 2""",
+)
 def weighted_terms(spark, sf_dir):
-    """Title words count four times, body words once, tags twice: weighted term counts of pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(F.struct(T.simple_tokens(T.html_title("html")).alias("t"), F.lit(4).alias("w")), F.struct(T.simple_tokens(T.html_plain("html")).alias("t"), F.lit(1).alias("w")))).alias("p"))
-    return pages.select("page_id", "p.w", F.explode("p.t").alias("term")).groupBy("page_id", "term").agg(F.sum("w").alias("weight"))
+    """Words of a document's first line count four times, those of its text once: weighted term counts."""
+    fields = lambda c, w: F.struct(T.simple_tokens(c).alias("t"), F.lit(w).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(fields(F.substring_index(T.text("text"), "\n", 1), 4), fields(F.col("text"), 1))).alias("p"))
+    return docs.select("doc_id", "p.w", F.explode("p.t").alias("term")).groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
 
 
 @query(

@@ -10,22 +10,9 @@ from heronry.operators import index as I
 from heronry.operators import search as S
 from heronry.plans.base import query, table
 from heronry.plans.core import TERMS, TOKENS_CTE
+from heronry.plans.indexes import stored_index
 from heronry.scratch import scratch_path
 from heronry.sinks import release as R
-from heronry.sources.paths import fingerprint
-
-_INDEXES: dict[tuple, str] = {}
-
-
-def stored_index(spark, sf_dir: str) -> str:
-    """The index of documents, written when it is first asked for and again when their files change."""
-    mark = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, f"{sf_dir}/documents.parquet"))
-    if mark not in _INDEXES:
-        path = scratch_path(spark, "index")
-        I.write_index(table(spark, sf_dir, "documents"), "doc_id", T.simple_tokens("text"), path, 16)
-        _INDEXES[mark] = path
-    return _INDEXES[mark]
-
 
 TOP = f"WITH {TOKENS_CTE} SELECT doc_id AS key, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20"
 
