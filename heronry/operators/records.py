@@ -83,10 +83,10 @@ def nearest_others(vectors: DataFrame, key: str, label: str, k: int) -> DataFram
             return pd.DataFrame({"id": [], "other": [], "score": []})
         score = unit(a) @ unit(b).T
         score[a[key].to_numpy()[:, None] == b[key].to_numpy()[None, :]] = -2
-        best = np.argsort(-score, axis=1, kind="stable")[:, : k + 8]
-        i = np.repeat(np.arange(len(a)), best.shape[1])
-        out = pd.DataFrame({"id": a[key].to_numpy()[i], "other": b[key].to_numpy()[best.ravel()], "score": score[i, best.ravel()]})
-        return out[out.score > -2]
+        score = np.round(score, 9)  # equal vectors tie
+        least = np.partition(score, max(score.shape[1] - k, 0), axis=1)[:, max(score.shape[1] - k, 0)]
+        i, j = np.nonzero((score >= least[:, None]) & (score > -2))  # all that tie with the k-th of the block
+        return pd.DataFrame({"id": a[key].to_numpy()[i], "other": b[key].to_numpy()[j], "score": score[i, j]})
 
     found = asked.unionByName(offered).groupBy(label, "i", "j").applyInPandas(compare, "id long, other long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
