@@ -6,63 +6,30 @@ from heronry.plans.base import both
 
 # --- windows -----------------------------------------------------------------------------------------------------------------
 
-both("win_03_running_count", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS k FROM {events}", tables="events")
-both("win_05_first_appearance", "SELECT event_type, CAST(row_number() OVER (ORDER BY first_id) AS BIGINT) AS place FROM (SELECT event_type, min(event_id) AS first_id FROM {events} GROUP BY event_type) f", tables="events")
-both("win_06_cut_value", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) SELECT user_id, max(CASE WHEN rn = least(20, n) THEN value END) AS cut FROM r GROUP BY user_id", tables="events")
-both("win_07_gap", "SELECT event_id, unix_micros(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - unix_micros(ts) AS gap_us FROM {events}", "SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap_us FROM {events}", "events")
-both("win_08_leading_prefix", "WITH m AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS stops FROM {conversations}) SELECT conv_id, CAST(sum(CASE WHEN stops = 0 THEN 1 ELSE 0 END) AS BIGINT) AS leading FROM m GROUP BY conv_id", tables="conversations")
-both("win_11_previous_runs", "WITH p AS (SELECT event_id, value, count(*) OVER w AS n, avg(value) OVER w AS mean_before FROM {events} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT event_id, n, round(mean_before, 5) AS mean_before, n >= 3 AND value > 2 * mean_before AS slow FROM p", tables="events")
-both("win_15_first_last", "SELECT user_id, min_by(event_type, event_id) AS first_type, max_by(event_type, event_id) AS last_type FROM {events} GROUP BY user_id", "SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM {events} GROUP BY user_id", "events")
 
 # --- aggregations ------------------------------------------------------------------------------------------------------------
 
-both("agg_07_activity_score", "SELECT user_id, count(*) AS score, array_join(array_sort(collect_list(event_id)), ',') AS evidence FROM {events} WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' AND ts <= TIMESTAMP '2024-01-31 00:00:00' AND event_type <> 'error' GROUP BY user_id", "SELECT user_id, count(*) AS score, array_to_string(list_sort(list(event_id)), ',') AS evidence FROM {events} WHERE ts >= TIMESTAMP '2024-01-24' AND ts <= TIMESTAMP '2024-01-31' AND event_type <> 'error' GROUP BY user_id", "events")
-both("agg_09_newest_lag", "WITH n AS (SELECT user_id, max(ts) AS newest FROM {events} GROUP BY user_id) SELECT user_id, CAST(newest AS DATE) AS newest_day, newest < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 DAY AS lagging FROM n", tables="events")
-both("agg_10_topic_mix", "SELECT topic, count(*) AS threads FROM (SELECT CASE WHEN lower(text) LIKE '%license%' THEN 'card' WHEN lower(text) LIKE '%the%' THEN 'routine' ELSE 'uncategorized' END AS topic FROM {documents}) t GROUP BY topic", tables="documents")
-both("agg_13_stage_counts", "SELECT o_orderstatus AS stage, count(*) AS threads, count(DISTINCT o_custkey) AS people, CAST(max(o_orderdate) AS DATE) AS newest FROM {orders} GROUP BY o_orderstatus", tables="orders")
-both("agg_14_verdict_memory", "WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM s WHERE event_type = 'error') SELECT user_id, event_id, before AS verdict_before FROM r WHERE rn = 1", tables="events")
-both("agg_16_month_merge", "WITH i AS (SELECT event_id, value + 1 AS value FROM {events} WHERE event_type = 'click'), u AS (SELECT event_id, value, 1 AS newer FROM i UNION ALL SELECT event_id, value, 0 AS newer FROM {events}), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY newer DESC) AS rn FROM u) SELECT event_id, round(value, 4) AS value FROM r WHERE rn = 1", tables="events")
-both("agg_17_month_summary", "SELECT user_id, date_format(ts, 'yyyy-MM') AS month, count_if(event_type = 'signup') AS opened, count_if(event_type = 'purchase') AS merged, count_if(event_type = 'click') AS commented, count(DISTINCT CASE WHEN event_type = 'view' THEN to_date(ts) END) AS view_days, CAST(max(ts) AS DATE) AS last_day FROM {events} GROUP BY 1, 2", "SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) FILTER (WHERE event_type = 'signup') AS opened, count(*) FILTER (WHERE event_type = 'purchase') AS merged, count(*) FILTER (WHERE event_type = 'click') AS commented, count(DISTINCT CASE WHEN event_type = 'view' THEN ts::DATE END) AS view_days, max(ts)::DATE AS last_day FROM {events} GROUP BY 1, 2", "events")
-both("agg_19_given_received", "WITH p AS (SELECT DISTINCT c_nationkey AS giver, s_nationkey AS receiver, l_orderkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey), g AS (SELECT giver AS nation, count(*) AS given FROM p GROUP BY giver), r AS (SELECT receiver AS nation, count(*) AS received FROM p GROUP BY receiver) SELECT coalesce(g.nation, r.nation) AS nation, coalesce(given, 0) AS given, coalesce(received, 0) AS received FROM g FULL JOIN r ON g.nation = r.nation", tables="lineitem orders customer supplier")
 both("agg_22_over_time", "WITH m AS (SELECT explode(sequence(DATE '2023-11-27', DATE '2024-02-05', INTERVAL 7 DAYS)) AS week), t AS (SELECT DISTINCT event_type FROM {events}), n AS (SELECT CAST(date_trunc('WEEK', ts) AS DATE) AS week, event_type, count(*) AS n FROM {events} GROUP BY 1, 2) SELECT m.week, t.event_type, CASE WHEN m.week >= DATE '2024-01-01' THEN coalesce(n.n, 0) END AS n FROM m CROSS JOIN t LEFT JOIN n ON n.week = m.week AND n.event_type = t.event_type", "WITH m AS (SELECT unnest(generate_series(DATE '2023-11-27', DATE '2024-02-05', INTERVAL 7 DAY))::DATE AS week), t AS (SELECT DISTINCT event_type FROM {events}), n AS (SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n FROM {events} GROUP BY 1, 2) SELECT m.week, t.event_type, CASE WHEN m.week >= DATE '2024-01-01' THEN coalesce(n.n, 0) END AS n FROM m CROSS JOIN t LEFT JOIN n ON n.week = m.week AND n.event_type = t.event_type", "events")
 both("agg_24_thread_list", "SELECT l_suppkey, l_orderkey, count(*) AS rows_in_thread, substring(max(concat(lpad(CAST(l_linenumber AS STRING), 3, '0'), l_linestatus)), 4, 1) AS latest_state, count(DISTINCT l_partkey) AS partners FROM {lineitem} GROUP BY l_suppkey, l_orderkey", tables="lineitem")
-both("agg_28_coverage", "SELECT d.source, count(DISTINCT d.doc_id) AS total, count(DISTINCT l.doc_id) AS covered FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source", tables="documents labels")
-both("agg_29_starter", "WITH f AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM {events} WHERE event_type IN ('signup', 'click')) SELECT event_type, user_id AS starter, event_id FROM f WHERE rn = 1", tables="events")
-both("agg_32_vote_tally", "WITH v AS (SELECT user_id % 20 AS topic, user_id, event_type, row_number() OVER (PARTITION BY user_id % 20, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events} WHERE event_type IN ('view', 'purchase', 'error')), t AS (SELECT topic, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS plus_one, count(CASE WHEN event_type = 'error' THEN 1 END) AS minus_one, count(CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 1 END) AS binding FROM v WHERE rn = 1 GROUP BY topic) SELECT topic, plus_one, minus_one, binding, CASE WHEN minus_one > 0 AND minus_one >= plus_one THEN 'vetoed' WHEN binding >= 3 AND plus_one > minus_one THEN 'passing' ELSE 'open' END AS state FROM t", tables="events")
-both("agg_36_longest_waits", "WITH w AS (SELECT o_orderstatus, o_orderkey, datediff(DATE '1999-01-01', CAST(o_orderdate AS DATE)) AS days FROM {orders}), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY days DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS total FROM w) SELECT o_orderstatus, o_orderkey, CAST(days AS BIGINT) AS days, total FROM r WHERE rn <= 3", "WITH w AS (SELECT o_orderstatus, o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS days FROM {orders}), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY days DESC, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderstatus) AS total FROM w) SELECT o_orderstatus, o_orderkey, days, total FROM r WHERE rn <= 3", "orders")
-both("agg_37_review_state", "SELECT o_orderkey, count(DISTINCT l_suppkey) AS reviewers, CAST(max(l_shipdate) AS DATE) AS last_review, CASE WHEN max(l_shipdate) IS NULL THEN 'waiting' WHEN max(l_shipdate) > max(o_orderdate) + INTERVAL 90 DAY THEN 'author' ELSE 'reviewer' END AS clock FROM {orders} LEFT JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey", tables="orders lineitem")
-both("agg_45_count_line", "SELECT source, concat(CAST(count(*) AS STRING), CASE WHEN count(*) = 1 THEN ' result' ELSE ' results' END, CASE WHEN count(*) > 20 THEN ', 20 shown' ELSE '' END) AS line FROM {documents} GROUP BY source", "SELECT source, concat(CAST(count(*) AS VARCHAR), CASE WHEN count(*) = 1 THEN ' result' ELSE ' results' END, CASE WHEN count(*) > 20 THEN ', 20 shown' ELSE '' END) AS line FROM {documents} GROUP BY source", "documents")
-both("agg_48_run_counts", "SELECT source, count(*) AS entries, count(CASE WHEN n_chars < 200 THEN 1 END) AS rejected, CASE WHEN count(CASE WHEN n_chars < 200 THEN 1 END) = 0 THEN 'complete' WHEN count(CASE WHEN n_chars < 200 THEN 1 END) = count(*) THEN 'failed' ELSE 'partial' END AS status FROM {documents} GROUP BY source", tables="documents")
-both("agg_50_auc", "WITH j AS (SELECT quality, n_chars FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id), c AS (SELECT n_chars, count(*) AS n, sum(quality) AS pos FROM j GROUP BY n_chars), r AS (SELECT pos, n - pos AS neg, coalesce(sum(n - pos) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT round(sum(pos * (below + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 5) AS auc FROM r", tables="labels documents")
 both("agg_51_peak_bucket", "WITH n AS (SELECT CAST(date_trunc('WEEK', ts) AS DATE) AS week, count(*) AS n FROM {events} GROUP BY 1), p AS (SELECT CAST(max(n) AS DOUBLE) AS peak FROM n), s AS (SELECT peak, peak / 4 / power(10.0, floor(log10(peak / 4))) AS m, power(10.0, floor(log10(peak / 4))) AS ten FROM p) SELECT CAST(peak AS BIGINT) AS peak, CAST(ten * CASE WHEN m <= 1 THEN 1 WHEN m <= 2 THEN 2 WHEN m <= 5 THEN 5 ELSE 10 END AS BIGINT) AS step FROM s", tables="events")
 
 # --- joins -------------------------------------------------------------------------------------------------------------------
 
-both("joi_02_missing_parent", "SELECT event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id)", tables="labels events")
 both("joi_04_bidirectional", "SELECT nation, count(DISTINCT other) AS neighbours FROM (SELECT a.n_nationkey AS nation, b.n_nationkey AS other FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey UNION ALL SELECT b.n_nationkey AS nation, a.n_nationkey AS other FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey) p GROUP BY nation", tables="nation")
-both("joi_09_newer_wins", "SELECT coalesce(i.doc_id, s.doc_id) AS doc_id, coalesce(i.v, s.v) AS v FROM (SELECT doc_id, n_chars AS v FROM {documents}) s FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS v FROM {labels}) i ON s.doc_id = i.doc_id", tables="documents labels")
-both("joi_10_fingerprint", "SELECT a.doc_id, b.doc_id AS first_id FROM (SELECT doc_id, substring(sha2(text, 256), 1, 32) AS f FROM {documents}) a JOIN (SELECT substring(sha2(text, 256), 1, 32) AS f, min(doc_id) AS doc_id FROM {documents} GROUP BY 1) b ON a.f = b.f", "SELECT a.doc_id, b.doc_id AS first_id FROM (SELECT doc_id, substring(sha256(text), 1, 32) AS f FROM {documents}) a JOIN (SELECT substring(sha256(text), 1, 32) AS f, min(doc_id) AS doc_id FROM {documents} GROUP BY 1) b ON a.f = b.f", "documents")
 both("joi_15_anti_pair", "WITH p AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b FROM {customer} JOIN {supplier} ON c_custkey = s_suppkey) SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM {nation} x JOIN {nation} y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey LEFT JOIN p ON p.a = x.n_nationkey AND p.b = y.n_nationkey WHERE p.a IS NULL", tables="customer supplier nation")
-both("joi_17_latest_of_two", "WITH a AS (SELECT user_id, max(event_id) AS discussed FROM {events} WHERE event_type = 'view' GROUP BY user_id), b AS (SELECT user_id, max(event_id) AS voted FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN voted IS NULL OR discussed > voted THEN 'discuss' ELSE 'vote' END AS stage FROM a FULL JOIN b ON a.user_id = b.user_id", tables="events")
 both("joi_20_left_null", "SELECT c_custkey, n FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey", tables="customer orders")
 both("joi_21_lower_key", "SELECT n_name, r_name FROM {nation} JOIN {region} ON lower(n_name) = lower(concat('Nation_', r_regionkey))", tables="nation region")
 both("joi_24_top_three", "WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y, abs(a.p_retailprice - b.p_retailprice) AS gap FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY gap, y) AS rn FROM p) SELECT x, y, round(gap, 4) AS gap FROM r WHERE rn <= 3", tables="part")
 
 # --- sets --------------------------------------------------------------------------------------------------------------------
 
-both("set_04_keep_first", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {documents}) t WHERE rn = 1", tables="documents")
-both("set_07_equal_ids", "SELECT count(*) = 0 AS equal FROM ((SELECT o_orderkey FROM {orders} EXCEPT SELECT l_orderkey FROM {lineitem}) UNION ALL (SELECT l_orderkey FROM {lineitem} EXCEPT SELECT o_orderkey FROM {orders})) d", tables="orders lineitem")
 both("set_08_unseen", "SELECT event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup' AND event_id % 7 = 0) s WHERE s.user_id = e.user_id)", tables="events")
-both("set_09_unique_both", "SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS a, count(*) OVER (PARTITION BY l_partkey) AS b FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}) d) c WHERE a = 1 AND b <= 30", tables="lineitem")
 both("set_12_stale_vectors", "SELECT vec_id FROM {embeddings} EXCEPT SELECT doc_id FROM {documents}", tables="embeddings documents")
 
 # --- filters, orders, dates, text --------------------------------------------------------------------------------------------
 
-both("fil_03_status_groups", "SELECT e.event_id FROM {events} e JOIN (SELECT user_id FROM {events} GROUP BY user_id HAVING count(CASE WHEN event_type = 'purchase' THEN 1 END) >= 5) g ON e.user_id = g.user_id", tables="events")
 both("fil_04_closed_window", "SELECT event_id FROM {events} WHERE ts BETWEEN TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-30 00:00:00'", tables="events")
 both("fil_14_suppressed", "SELECT c_custkey, CASE WHEN substring(sha2(c_name, 256), 1, 1) = '0' THEN NULL ELSE c_name END AS shown FROM {customer}", "SELECT c_custkey, CASE WHEN substring(sha256(c_name), 1, 1) = '0' THEN NULL ELSE c_name END AS shown FROM {customer}", "customer")
-both("fil_20_invariants", "SELECT conv_id, count(*) <> count(DISTINCT turn) AS repeated, min(turn) <> 0 OR max(turn) <> count(*) - 1 AS gaps FROM {conversations} GROUP BY conv_id", tables="conversations")
-both("srt_06_timeline", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS BIGINT) AS place FROM {events}", tables="events")
 both("srt_12_person_merge", "SELECT c_custkey, CAST(place AS BIGINT) AS place FROM (SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_name LIKE '%1' THEN 0 ELSE 1 END, c_name, c_custkey) AS place FROM {customer} WHERE c_name LIKE '%1%') t WHERE place <= 3", tables="customer")
 both("dat_06_bucket_bounds", "SELECT DISTINCT CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS first_day, CAST(add_months(date_trunc('MONTH', o_orderdate), 1) AS DATE) AS end_day FROM {orders}", "SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS first_day, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS end_day FROM {orders}", "orders")
 both("dat_09_month_fraction", "SELECT event_id, round(CAST(unix_micros(ts) - unix_micros(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE) / (31 * 86400e6), 6) AS elapsed, 31 - day(ts) AS remaining FROM {events}", "SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::DOUBLE / (31 * 86400e6), 6) AS elapsed, (31 - day(ts))::INT AS remaining FROM {events}", "events")

@@ -330,10 +330,7 @@ both("dat_03_months", "SELECT date_format(ts, 'yyyy-MM') AS month, event_type, c
 both("dat_05_weeks", "SELECT CAST(date_trunc('WEEK', ts) AS DATE) AS week, count(*) AS n FROM {events} GROUP BY 1", "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM {events} GROUP BY 1", "events")
 both("agg_38_grouping_sets", "SELECT lang, source, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM {documents} GROUP BY GROUPING SETS ((lang), (lang, source), ())", tables="documents")
 both("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)", tables="orders")
-both("agg_27_areas_with_other", "WITH c AS (SELECT source, count(*) AS n FROM {documents} GROUP BY source), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS rn FROM c) SELECT CASE WHEN rn <= 6 THEN source ELSE 'other' END AS area, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1", tables="documents")
-both("agg_23_works_with", "WITH p AS (SELECT DISTINCT o_custkey, l_suppkey, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey), c AS (SELECT o_custkey, l_suppkey, count(*) AS n FROM p GROUP BY o_custkey, l_suppkey), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, l_suppkey) AS rn FROM c) SELECT o_custkey, l_suppkey, n FROM r WHERE rn <= 10", tables="lineitem orders")
 both("agg_33_thread_stats", "SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS roles, min_by(role, turn) AS root_role, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id", "SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS roles, arg_min(role, turn) AS root_role, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id", "conversations")
-both("set_11_missing_days", "SELECT c.day FROM (SELECT explode(sequence(DATE '2023-12-25', DATE '2024-02-05')) AS day) c LEFT ANTI JOIN (SELECT DISTINCT to_date(ts) AS day FROM {events}) e ON c.day = e.day", "SELECT day::DATE AS day FROM (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY)) AS day) WHERE day::DATE NOT IN (SELECT ts::DATE FROM {events})", "events")
 both("set_except", "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}", tables="documents labels")
 both("set_intersect", "SELECT doc_id FROM {documents} INTERSECT SELECT doc_id FROM {labels}", tables="documents labels")
 both("joi_05_self_pairs", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey", tables="supplier")

@@ -8,10 +8,10 @@ from heronry.operators import contracts as K
 from heronry.plans.base import query, table
 
 col, lit = F.col, F.lit
-e = col("event_id")
 
 
 def _events(spark, sf_dir):
+    e = col("event_id")
     made = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     kind = F.when(e % 7 == 0, "state-changed").when(e % 7 == 1, "guessed").otherwise("updated")
     data = F.when(e % 11 == 0, None).otherwise(F.create_map(lit("artifactType"), lit("issue"), lit("after"), F.when(e % 14 == 0, " ").otherwise("closed")))
@@ -41,6 +41,7 @@ CONTRACTS = {"github-record@1": {"number": "number", "author": "string", "isBot"
       ELSE array_to_string(list_filter([CASE WHEN event_id % 2 = 0 THEN 'author must be a string' END, CASE WHEN event_id % 3 = 0 THEN 'isBot must be a boolean' END], lambda x: x IS NOT NULL), '; ') END AS issues FROM events""",
 )
 def payload_gate(spark, sf_dir):
+    e = col("event_id")
     code = F.concat(lit('{"number":'), e, lit(',"author":'), F.when(e % 2 == 0, lit("7")).otherwise(lit('"ada"')), lit(',"isBot":'), F.when(e % 3 == 0, lit("null")).otherwise(lit("false")), lit("}"))
     mail = F.concat(lit('{"mid":'), F.when(e % 3 == 0, lit("[1]")).otherwise(lit('"m"')), lit("}"))
     kind = col("event_type")
@@ -65,6 +66,7 @@ def profile_gate(spark, sf_dir):
 
 @query("fil_15_kinds", "WITH k AS (SELECT CASE event_type WHEN 'click' THEN 'pr' WHEN 'view' THEN 'mail' WHEN 'signup' THEN 'jira' ELSE 'github' END AS kind FROM events) SELECT kind, count(*) AS n FROM k WHERE kind <> 'github' GROUP BY kind UNION ALL SELECT 'all', count(*) FROM k")
 def thread_kinds(spark, sf_dir):
+    e = col("event_id")
     kind = F.when(col("event_type") == "click", "pr").when(col("event_type") == "view", "mail").when(col("event_type") == "signup", "jira").otherwise("github")
     return K.kinds(table(spark, sf_dir, "events").select(e.alias("thread"), kind.alias("kind")))
 

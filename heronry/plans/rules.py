@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 from heronry.plans.base import both, query, table
 from heronry.sources import captures
 
-both("ops_01_trend", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM {events} GROUP BY 1), h AS (SELECT day, n, errors, avg(n) OVER w AS usual, count(*) OVER w AS history FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) SELECT day, n, errors, CASE WHEN history < 3 THEN 'no_history' WHEN n < 0.5 * usual THEN 'drop' WHEN n > 1.5 * usual THEN 'spike' ELSE 'ok' END AS status FROM h", tables="events")
-both("ops_03_worst_status", "SELECT user_id, CASE max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END) WHEN 2 THEN 'red' WHEN 1 THEN 'yellow' ELSE 'green' END AS status FROM {events} WHERE ts >= TIMESTAMP '2024-01-25 00:00:00' GROUP BY user_id", tables="events")
 both("ops_05_breaker", "WITH s AS (SELECT user_id, event_id, max(CASE WHEN value > 150 THEN event_id ELSE -1 END) OVER w AS opened, max(CASE WHEN event_type = 'signup' THEN event_id ELSE -1 END) OVER w AS reset_at FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT user_id, event_id, opened > reset_at AS latched FROM s", tables="events")
-both("ops_07_diagnosis_plan", "WITH f AS (SELECT CAST(ts AS DATE) AS day, user_id, min(event_id) AS first_id, count(*) AS firings FROM {events} WHERE event_type = 'error' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY first_id) AS rn FROM f) SELECT day, user_id, first_id, firings FROM r WHERE rn <= 5", tables="events")
 both("ops_08_citations", "SELECT item, CASE WHEN found THEN 'resolved' ELSE 'dangling' END AS state FROM (SELECT l.doc_id AS item, d.doc_id IS NOT NULL AND d.n_chars > 100 AS found FROM {labels} l LEFT JOIN {documents} d ON l.doc_id = d.doc_id) t", tables="labels documents")
-both("ops_09_volume_cap", "SELECT event_type, count(*) AS n, round(count(*) / CAST(500 AS DOUBLE), 4) AS share, count(*) > 500 AS over_cap FROM {events} GROUP BY event_type", tables="events")
 both("ops_14_publication_issues", "SELECT conv_id, 'first turn is no user turn' AS issue FROM {conversations} WHERE turn = 0 AND role <> 'user' UNION ALL SELECT conv_id, 'repeated role' AS issue FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) c WHERE role = before", tables="conversations")
 both("ops_28_recorded_sources", "SELECT lang, array_join(array_sort(collect_set(source)), ',') AS sources FROM {documents} GROUP BY lang", "SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM {documents} GROUP BY lang", "documents")
 both("ops_29_ablation", "WITH j AS (SELECT d.source, d.doc_id, d.n_chars, l.quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id), r AS (SELECT source, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS b FROM j), m AS (SELECT source, min(CASE WHEN quality = 1 THEN a END) AS first_a, min(CASE WHEN quality = 1 THEN b END) AS first_b FROM r GROUP BY source) SELECT source, CASE WHEN first_b IS NULL THEN 'lost' WHEN first_b < first_a THEN 'met' WHEN first_b = first_a THEN 'same' ELSE 'lowered' END AS outcome FROM m", tables="documents labels")
