@@ -29,17 +29,24 @@ def write_index(docs: DataFrame, key: str, tokens: Column, path: str, shards: in
     terms = split.select("key", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("key", "length", "term").agg(F.count("*").cast("int").alias("tf"))
     df = terms.withColumn("shard", shard_of(F.col("term"), shards))
     df.repartition(shards, "shard", F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(f"{path}/postings")
-    split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length")).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/statistics")
-    counts = spark.read.parquet(f"{path}/postings").groupBy("shard", "term").agg(F.count("*").alias("df"))
+    split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length")).withColumn("shards", F.lit(shards)).withColumn("key_type", F.lit(docs.schema[key].dataType.simpleString())).write.parquet(f"{path}/statistics")
+    counts = read_postings(spark, path).groupBy("shard", "term").agg(F.count("*").alias("df"))
     counts.repartition(1, "shard").sortWithinPartitions("term").write.partitionBy("shard").parquet(f"{path}/terms")
 
 
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """key, length, term, tf, shard of the whole index; none where no document holds a token."""
+    key = spark.read.parquet(f"{path}/statistics").first().key_type
+    return spark.read.schema(f"key {key}, length int, term string, tf int, shard int").parquet(f"{path}/postings")
+
+
 def read_terms(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """Postings of the terms with their df: only the shards and row groups that may hold them are read."""
     statistics = spark.read.parquet(f"{path}/statistics").first()
     rows = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string").select("term", shard_of(F.col("term"), statistics.shards).alias("shard")).collect()
     wanted = F.col("shard").isin([r.shard for r in rows]) & F.col("term").isin([r.term for r in rows])
-    postings, df = (spark.read.parquet(f"{path}/{name}").filter(wanted) for name in ("postings", "terms"))
+    postings = read_postings(spark, path).filter(wanted)
+    df = spark.read.schema("term string, df long, shard int").parquet(f"{path}/terms").filter(wanted)
     return postings.join(F.broadcast(df.select("term", "df")), "term").select("key", "length", "term", "tf", "df", F.lit(statistics.n).alias("n"), F.lit(statistics.mean_length).alias("mean_length"))
 
 

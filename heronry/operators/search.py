@@ -126,6 +126,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def first_vector(vectors: DataFrame) -> list[float]:
+    """The vector with the least id; a zero, which nothing is near, where there is none."""
+    row = vectors.orderBy("vec_id").select("embedding").first()
+    return [float(x) for x in row.embedding] if row else [0.0]
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, namespace: str | None = None) -> DataFrame:
     """The k most similar vectors above 0 (per namespace where one is named), ties by id: vec_id, score."""
     scored = vectors.withColumn("score", cosine(F.col("embedding"), F.array(*map(F.lit, query)))).filter("score > 0")

@@ -96,8 +96,8 @@ def chunked(spark, sf_dir):
 )
 def cosine_top(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.orderBy("vec_id").select("embedding").first()[0]
-    return S.nearest(vectors, [float(x) for x in first], 30).select("vec_id", "label", F.round("score", 5).alias("score"))
+    first = S.first_vector(vectors)
+    return S.nearest(vectors, first, 30).select("vec_id", "label", F.round("score", 5).alias("score"))
 
 
 @query(
@@ -109,16 +109,16 @@ def cosine_top(spark, sf_dir):
 )
 def nearest_per_label(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.orderBy("vec_id").select("embedding").first()[0]
-    return S.nearest(vectors, [float(x) for x in first], 3, "label").select("label", "vec_id", F.round("score", 5).alias("score"), "rank")
+    first = S.first_vector(vectors)
+    return S.nearest(vectors, first, 3, "label").select("label", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 def _rankings(spark, sf_dir):
     ranked = lambda df, key: df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
     lexical = ranked(S.top(_scored(spark, sf_dir), "doc_id", 50), "doc_id")
     vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.orderBy("vec_id").select("embedding").first()[0]
-    semantic = ranked(S.nearest(vectors, [float(x) for x in first], 50), "vec_id").withColumnRenamed("vec_id", "doc_id")
+    first = S.first_vector(vectors)
+    semantic = ranked(S.nearest(vectors, first, 50), "vec_id").withColumnRenamed("vec_id", "doc_id")
     return lexical, semantic
 
 

@@ -49,8 +49,7 @@ def _lexical(spark, sf_dir):
 def _candidates(spark, sf_dir):
     """What a vector index that lags behind answers: every ninth vector is of an older text."""
     vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.orderBy("vec_id").select("embedding").first()[0]
-    score = F.round(S.cosine(col("embedding"), F.array(*[F.lit(float(x)) for x in first])), 9)
+    score = F.round(S.cosine(col("embedding"), F.array(*map(F.lit, S.first_vector(vectors)))), 9)
     old = F.when(col("vec_id") % 9 == 0, col("label") + 1000).otherwise(col("label"))
     return vectors.select(col("vec_id").alias("chunk"), old.alias("fingerprint"), score.alias("score")).filter("score > 0.1")
 

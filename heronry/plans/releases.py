@@ -29,7 +29,7 @@ def two_phases(spark, sf_dir):
 
 @query("snk_02_index_terms", f"WITH {TOKENS_CTE.split('stats AS')[0].rstrip().rstrip(',')} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM tok GROUP BY term")
 def index_terms(spark, sf_dir):
-    return spark.read.parquet(f"{stored_index(spark, sf_dir)}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return I.read_postings(spark, stored_index(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 @query("sch_08_lexical_fallback", f"WITH {TOKENS_CTE} SELECT doc_id, round(1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)), 7) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 50")
@@ -124,7 +124,8 @@ def months(spark, sf_dir):
     again = rows.filter("event_id % 3 = 0").select("month", "event_id", (F.col("value") + 1).alias("value"), F.lit(1).alias("revision"))
     for part in (rows.filter("event_id % 2 = 0"), rows, again, rows):
         R.upsert_months(spark, part, path, ["event_id"], ["revision"])
-    return R.read_months(spark, path).groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    kept = R.read_months(spark, path)
+    return (rows if kept is None else kept).groupBy("month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("snk_09_verdicts", "SELECT event_id AS review_id, CASE WHEN event_id % 4 = 0 THEN 'DISMISSED' ELSE upper(event_type) END AS state, upper(event_type) AS verdict FROM events")

@@ -100,11 +100,11 @@ def switch_pointer(spark: SparkSession, path: str, value: dict, kept: int = 2) -
     return True
 
 
-def publish(spark: SparkSession, path: str, release: str, problems: DataFrame) -> bool:
-    """Switch the pointer to a verified release; a release with problems is an error and leaves the pointer alone."""
+def publish(spark: SparkSession, path: str, release: str, problems: DataFrame, **more: str) -> bool:
+    """Switch the pointer to a verified release, with what else its readers need; a release with problems is an error and leaves the pointer alone."""
     if not problems.isEmpty():
         raise ValueError(f"release {release} has problems: {[tuple(r) for r in problems.limit(5).collect()]}")
-    return switch_pointer(spark, path, {"release": release})
+    return switch_pointer(spark, path, {"release": release, **more})
 
 
 def state_delta(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:

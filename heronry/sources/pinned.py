@@ -6,10 +6,12 @@ shard of their key, and a reader of some keys opens those folders alone.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heronry.sinks import release as R
 
@@ -30,10 +32,10 @@ def publish_details(rows: DataFrame, key: str, root: str, release: str) -> None:
     details = rows.select("*", R.digest(body).alias("sha256"), shard(F.col(key)).alias("shard"))
     base = f"{root}/releases/{release}"
     details.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/details")
-    stored = spark.read.parquet(f"{base}/details").select(F.col(key).alias("key"), "sha256", "shard")
+    stored = spark.read.schema(details.schema).parquet(f"{base}/details").select(F.col(key).alias("key"), "sha256", "shard")
     stored.write.mode("overwrite").parquet(f"{base}/manifest")
     declared = details.select(F.col(key).alias("key"), "sha256", F.lit(0).alias("bytes"))
-    R.publish(spark, f"{root}/current", release, R.verification(declared, stored.withColumn("bytes", F.lit(0))))
+    R.publish(spark, f"{root}/current", release, R.verification(declared, stored.withColumn("bytes", F.lit(0))), schema=details.schema.json())
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class PinnedRelease:
 
     root: str
     release: str
+    schema: str
 
     @property
     def base(self) -> str:
@@ -56,7 +59,7 @@ class PinnedRelease:
 
         Up to `listed` keys are taken to the driver so that only their shards are opened; more are joined.
         """
-        rows = spark.read.parquet(f"{self.base}/details")
+        rows = spark.read.schema(StructType.fromJson(json.loads(self.schema))).parquet(f"{self.base}/details")
         if keys is None:
             return rows.drop("shard")
         wanted = keys.select(F.col(key)).distinct()
@@ -71,4 +74,4 @@ def pin(spark: SparkSession, root: str) -> PinnedRelease:
     pointer = R.read_pointer(spark, f"{root}/current")
     if pointer is None:
         raise FileNotFoundError(f"nothing has been published at {root}")
-    return PinnedRelease(root, pointer["release"])
+    return PinnedRelease(root, pointer["release"], pointer["schema"])

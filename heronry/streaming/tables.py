@@ -56,6 +56,8 @@ def keep_current(stream: DataFrame, target: str, key: str, order: list[str], che
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
         rows = batch.select(*columns, bucket)
         touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets` rows
+        if not touched:
+            return
         old = current_rows(spark, target, touched, number)
         both = rows if old is None else rows.unionByName(old)
         best = both.groupBy("bucket", key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select("bucket", "r.*")
