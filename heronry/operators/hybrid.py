@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heronry.operators import search as S
+
 
 @dataclass(frozen=True)
 class Fusion:
@@ -85,3 +87,30 @@ def browse(entries: DataFrame, sort: str, query: str = "", project: str = "", st
     rows = rows.filter("score > 0") if words else rows
     first = {"recent": [], "relevance": [F.desc("score")] if words else [F.desc("activity")]}.get(sort, [F.desc("activity")])
     return rows.select("entry", "score", F.row_number().over(Window.orderBy(*first, F.desc("newest"), "entry")).alias("rank"))
+
+
+def feed_chunks(entries: DataFrame, records: DataFrame, size: int = 180, overlap: int = 30) -> DataFrame:
+    """group, record, ordinal, n_words, chunk: what a feed gives to the search, cut into windows of words.
+
+    entries: group, records (ids); records: record, text. A record that no entry names, or an entry whose record is gone, gives nothing.
+    """
+    named = entries.select("group", F.explode("records").alias("record")).distinct()
+    return S.chunks(records.select("record", "text"), "record", "text", size, overlap).join(named, "record").select("group", "record", "ordinal", "n_words", "chunk")
+
+
+def detail_ref(revision: Column, group: Column, record: Column) -> Column:
+    """An opaque reference to one record of a release."""
+    return F.translate(F.rtrim(F.base64(F.to_json(F.struct(revision.alias("v"), group.alias("g"), record.alias("r"))).cast("binary")), F.lit("=")), "+/", "-_")
+
+
+def hydrated(refs: DataFrame, details: DataFrame, revision: str) -> DataFrame:
+    """ref, state, group, record, text of references (ref): found, stale (of another revision), unknown (no such record), or invalid."""
+    padded = F.translate(F.col("ref"), "-_", "+/")
+    padded = F.rpad(padded, F.length("ref") + (4 - F.length("ref") % 4) % 4, "=")
+    read = F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), "v string, g long, r long")
+    told = refs.select("ref", read.alias("x")).select("ref", F.col("x.v").alias("v"), F.col("x.g").alias("g"), F.col("x.r").alias("r"))
+    there = details.select(F.col("group").alias("g"), F.col("record").alias("r"), "text", F.lit(True).alias("there"))
+    both = told.join(there, ["g", "r"], "left")
+    state = F.when(F.col("v").isNull(), "invalid").when(F.col("v") != revision, "stale").when(F.col("there").isNull(), "unknown").otherwise("found")
+    fine = state == "found"
+    return both.select("ref", state.alias("state"), F.when(fine, F.col("g")).alias("group"), F.when(fine, F.col("r")).alias("record"), F.when(fine, F.col("text")).alias("text"))

@@ -118,6 +118,33 @@ def browse(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "sch_14_feed_chunks",
+    """WITH w AS (SELECT doc_id AS record, lang AS "group", list_filter(string_split_regex(trim(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 6 <> 5),
+    o AS (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - 180) / 150.0)::BIGINT) + 1)) AS ordinal FROM w WHERE len(w) > 0)
+    SELECT "group", record, ordinal::INT AS ordinal, len(w[ordinal * 150 + 1:ordinal * 150 + 180])::INT AS n_words, sha256(array_to_string(w[ordinal * 150 + 1:ordinal * 150 + 180], ' ')) AS chunk FROM o""",
+)
+def feed_chunks(spark, sf_dir):
+    """Entries are languages; every sixth document is in no entry."""
+    docs = table(spark, sf_dir, "documents")
+    entries = docs.filter("doc_id % 6 <> 5").groupBy(col("lang").alias("group")).agg(F.collect_list("doc_id").alias("records"))
+    return H.feed_chunks(entries, docs.select(col("doc_id").alias("record"), "text")).withColumn("chunk", F.sha2(col("chunk").cast("binary"), 256))
+
+
+@query(
+    "sch_16_hydrated",
+    """SELECT doc_id AS asked, CASE doc_id % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'stale' WHEN 2 THEN 'unknown' ELSE 'invalid' END AS state, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS record, CASE WHEN doc_id % 4 = 0 THEN sha256(text) END AS text FROM documents""",
+)
+def hydrated(spark, sf_dir):
+    """References to every document: of this revision, of another, to records that are gone, and broken ones."""
+    docs, d = table(spark, sf_dir, "documents"), col("doc_id")
+    revision, record = F.when(d % 4 == 1, "old").otherwise("r1"), F.when(d % 4 == 2, -1 - d).otherwise(d)
+    ref = F.when(d % 4 == 3, F.concat(F.lit("no-ref-"), d)).otherwise(H.detail_ref(revision, d % 7, record))
+    asked = docs.select(d.alias("asked"), ref.alias("ref"))
+    told = H.hydrated(asked, docs.select((d % 7).alias("group"), d.alias("record"), "text"), "r1")
+    return told.join(asked, "ref").select("asked", "state", "record", F.sha2(col("text").cast("binary"), 256).alias("text"))
+
+
 # --- the review queue: orders are pulls, suppliers of their lines reviewers; a supplier's line of return flag R is the author's own ---------
 
 NOW = "1999-06-01 00:00:00"

@@ -9,6 +9,7 @@ from heronry.scratch import scratch_path
 from heronry.sources import cursor as C
 from heronry.streaming import hooks as H
 from heronry.streaming import progress as P
+from heronry.streaming import publication as B
 from heronry.streaming import tables as G
 
 
@@ -87,3 +88,12 @@ def hook(spark, sf_dir):
     outcomes = H.run_with_hook(_files(spark, base, parts), f"{base}/out", f"{base}/checkpoint", f"hook-{base[-32:]}", lambda status: None)
     told = spark.createDataFrame([(f"told {outcome}", rows) for _, rows, outcome in outcomes], "event_type string, n long")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n")).unionByName(told.groupBy("event_type").agg(F.sum("n").alias("n")))
+
+
+@query("stm_03_published_batches", "SELECT user_id, count(*) AS n, max(event_id) AS newest FROM events GROUP BY user_id")
+def published_batches(spark, sf_dir):
+    """The release that stands after three batches, each published before it was committed."""
+    base, events = scratch_path(spark, "publication"), table(spark, sf_dir, "events").select("user_id", "event_id")
+    stream = _files(spark, base, [events.filter(F.col("event_id") % 3 == k) for k in range(3)])
+    B.publish_batches(stream, base, "user_id", f"{base}/progress", lambda log: log.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("newest")))
+    return B.published(spark, base)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heronry.scratch import scratch_path
 from heronry.sources import cursor
-from heronry.streaming import hooks, progress, tables
+from heronry.streaming import hooks, progress, publication, tables
 
 MINUTE = 60_000_000
 
@@ -85,3 +85,25 @@ def test_a_hook_never_fails_the_stream(spark, hook, outcome):
     outcomes = hooks.run_with_hook(stream, f"{base}/out", f"{base}/checkpoint", f"q{base[-32:]}", hook, 0.3)
     assert outcomes == [(0, 3, outcome), (1, 3, outcome)]
     assert spark.read.parquet(f"{base}/out").count() == 6
+
+
+def test_a_batch_that_was_not_published_runs_again(spark, monkeypatch):
+    base = scratch_path(spark, "publication")
+    for i in range(2):
+        spark.range(i * 3, i * 3 + 3).coalesce(1).write.parquet(f"{base}/in/{i}")
+    counted = lambda log: log.groupBy((F.col("id") % 2).alias("k")).agg(F.count("*").alias("n"))
+    run = lambda: publication.publish_batches(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"), base, "k", f"{base}/progress", counted)
+    real, calls = publication.R.publish, []
+
+    def dies(*args, **more):
+        calls.append(args[2])
+        if calls == ["r0", "r1"]:
+            raise InterruptedError("after the append, before the pointer")
+        return real(*args, **more)
+
+    monkeypatch.setattr(publication.R, "publish", dies)
+    with pytest.raises(Exception, match="before the pointer"):
+        run()
+    assert sorted(map(tuple, publication.published(spark, base).collect())) == [(0, 2), (1, 1)]
+    run()
+    assert calls == ["r0", "r1", "r1"] and sorted(map(tuple, publication.published(spark, base).collect())) == [(0, 3), (1, 3)]
