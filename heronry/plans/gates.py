@@ -112,7 +112,7 @@ def front_matter_plan(spark, sf_dir):
     """WITH c AS (SELECT c_nationkey AS project, c_custkey % 4 <> 0 AS recorded, min(o_orderdate) OVER (PARTITION BY o_custkey) AS since, o_orderdate AS until, strftime(o_orderdate, '%Y-%m') AS month FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate < TIMESTAMP '1997-01-01' + to_days((c_nationkey * 40)::INT)),
     f AS (SELECT project, min(month) AS first, list(DISTINCT month[1:4]) FILTER (month LIKE '%-01') AS y FROM c GROUP BY project)
     SELECT project, bool_or(recorded) AS visible, epoch_us(TIMESTAMP '1999-06-01') - epoch_us(max(until)) > 48 * 3600000000 AS stale, epoch_us(min(since) FILTER (recorded AND since > CAST(first || '-01' AS TIMESTAMP))) AS marker_us,
-      array_to_string(list_sort(list_filter(any_value(y), lambda x: x <> CASE WHEN any_value(first) LIKE '%-01' THEN any_value(first)[1:4] ELSE '' END)), ',') AS years FROM c JOIN f USING (project) GROUP BY project""",
+      coalesce(array_to_string(list_sort(list_filter(any_value(y), lambda x: x <> CASE WHEN any_value(first) LIKE '%-01' THEN any_value(first)[1:4] ELSE '' END)), ','), '') AS years FROM c JOIN f USING (project) GROUP BY project""",
 )
 def trends(spark, sf_dir):
     from pyspark.sql import Window
