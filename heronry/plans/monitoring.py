@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heronry.functions import documents as D
 from heronry.operators import monitoring as M
 from heronry.plans.base import query, table
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from heronry.functions import wording as W
 from heronry.operators import records as R
 from heronry.plans.base import query, table
 
