@@ -22,7 +22,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from itertools import compress
 
