@@ -12,6 +12,9 @@ from heronry.streaming import progress as P
 from heronry.streaming import publication as B
 from heronry.streaming import tables as G
 
+#: Partitions of the state of these queries: some hundred keys.
+STATE_PARTITIONS = 4
+
 
 @query("stm_01_cursor_source", "SELECT event_id AS id, epoch_us(ts) AS updated_us FROM events")
 def cursor_source(spark, sf_dir):
@@ -56,7 +59,7 @@ def progress(spark, sf_dir):
     attempts = events.join(known, "user_id", "left_semi").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.unix_micros("ts").alias("at_us"), F.col("event_id").alias("number"), outcome.alias("outcome"), F.col("event_id").cast("string").alias("mark"))
     cuts = ["2024-01-01", "2024-01-10", "2024-01-20", "2025-01-01"]
     parts = [attempts.filter((F.col("at") >= a) & (F.col("at") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    P.track(_files(spark, base, [*parts, parts[0]]), f"{base}/out", f"{base}/checkpoint", "400 days")
+    P.track(_files(spark, base, [*parts, parts[0]]), f"{base}/out", f"{base}/checkpoint", "400 days", STATE_PARTITIONS)
     last = P.changes(spark, f"{base}/out", P.PROGRESS).filter("NOT due").groupBy("key").agg(F.max_by(F.struct("status", "mark", "failures", "attempts", "absent_us", "retry_ms"), "attempts").alias("s"))
     return last.select("key", "s.*")
 
@@ -75,7 +78,7 @@ def latched_breaker(spark, sf_dir):
     measured = events.select(F.col("event_type").alias("scope"), F.unix_micros("ts").alias("at_us"), F.when(spike, "spike").otherwise("budget").alias("metric"), "value", F.when(spike, 75.0).otherwise(70.0).alias("threshold"))
     middle = F.lit("2024-01-15").cast("timestamp")
     parts = [measured.filter(F.col("at_us") < F.unix_micros(middle)), measured.filter(F.col("at_us") >= F.unix_micros(middle))]
-    P.guard(_files(spark, base, parts), f"{base}/out", f"{base}/checkpoint")
+    P.guard(_files(spark, base, parts), f"{base}/out", f"{base}/checkpoint", STATE_PARTITIONS)
     newest = P.changes(spark, f"{base}/out", P.BREAKER).groupBy("scope").agg(F.max_by(F.struct("metric", "value", "threshold", "opened_us", "metrics"), F.size(F.split("metrics", ","))).alias("s"))
     return newest.select("scope", "s.*")
 

@@ -95,10 +95,12 @@ class Breaker(StatefulProcessor):
         pass
 
 
-def _kept(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, target: str, checkpoint: str) -> None:
+def _kept(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, target: str, checkpoint: str, partitions: int | None) -> None:
     spark = rows.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         told = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode=mode)
 
@@ -107,17 +109,20 @@ def _kept(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str,
 
         told.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def track(attempts: DataFrame, target: str, checkpoint: str, late: str = "0 seconds") -> None:
-    """attempts: a stream of key, at, at_us, number, outcome, mark. Every change of a key's progress is written to target."""
-    _kept(attempts.withWatermark("at", late), "key", Progress(), PROGRESS, "EventTime", target, checkpoint)
+def track(attempts: DataFrame, target: str, checkpoint: str, late: str = "0 seconds", partitions: int | None = None) -> None:
+    """attempts: a stream of key, at, at_us, number, outcome, mark. Every change of a key's progress is written to target.
 
+    partitions: of the state, fixed at a checkpoint's first run; the session's shuffle partitions where none are named."""
+    _kept(attempts.withWatermark("at", late), "key", Progress(), PROGRESS, "EventTime", target, checkpoint, partitions)
 
-def guard(measured: DataFrame, target: str, checkpoint: str) -> None:
+
+def guard(measured: DataFrame, target: str, checkpoint: str, partitions: int | None = None) -> None:
     """measured: a stream of scope, at_us, metric, value, threshold. Every change of a scope's breaker is written to target."""
-    _kept(measured, "scope", Breaker(), BREAKER, "None", target, checkpoint)
+    _kept(measured, "scope", Breaker(), BREAKER, "None", target, checkpoint, partitions)
 
 
 def changes(spark: SparkSession, target: str, schema: str) -> DataFrame:
