@@ -55,23 +55,35 @@ def counts_differ(actual: DataFrame, stored: DataFrame) -> bool:
     return sorted(actual.columns) != sorted(stored.columns) or actual.first().asDict() != stored.select(actual.columns).first().asDict()
 
 
-def proposal_rows(threads: DataFrame, stages: list[str]) -> DataFrame:
-    """key, stage, stages, cites, newest of proposals that have a stage.
+def _proposals(threads: DataFrame, stages: list[str], cites: Column) -> DataFrame:
+    """key, stage, stages, cites (an aggregate of its threads), newest of proposals that have a stage.
 
     threads: thread, newest, keys (proposals that the title names), issues (issue keys), tags (stages that its subject tags), is_pull. A
     pull that names a proposal gives the stage code; a thread that is no pull and names an issue that pulls name too gives linked and
-    cites those pulls. `stage` is the first in the given order.
+    cites those pulls, once however many threads name the issue. `stage` is the first in the given order.
     """
+    bits = lambda tags: sum((F.when(F.array_contains(tags, s), 1 << k).otherwise(0) for k, s in enumerate(stages)), F.lit(0)).alias("bits")
     named = threads.select("thread", "newest", "is_pull", "issues", "tags", F.explode(F.array_distinct("keys")).alias("key"))
-    own = named.select("key", "thread", "newest", F.explode_outer(F.concat("tags", F.when(F.col("is_pull"), F.array(F.lit("code"))).otherwise(F.expr("cast(array() AS array<string>)")))).alias("stage"))
-    pulls = threads.filter("is_pull").select(F.col("thread").alias("pull"), F.col("newest").alias("pull_newest"), F.explode(F.array_distinct("issues")).alias("issue"))
-    linked = named.filter("NOT is_pull").select("key", F.explode(F.array_distinct("issues")).alias("issue")).join(pulls, "issue").select("key", F.col("pull").alias("thread"), F.col("pull_newest").alias("newest"), F.lit("linked").alias("stage"))
-    place = F.create_map(*[F.lit(x) for k, s in enumerate(stages) for x in (s, k)])
-    rows = own.unionByName(linked).withColumn("order", place[F.col("stage")]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("order", "stage"))).alias("s"), F.array_sort(F.collect_set("thread")).alias("cites"), F.max("newest").alias("newest"))
-    held = F.transform(F.filter("s", lambda x: x["order"].isNotNull()), lambda x: x["stage"])
+    own = named.select("key", "thread", "newest", bits(F.concat("tags", F.when(F.col("is_pull"), F.array(F.lit("code"))).otherwise(F.expr("cast(array() AS array<string>)")))))
+    pulls = threads.filter("is_pull").select("thread", "newest", F.explode(F.array_distinct("issues")).alias("issue"))
+    asked = named.filter("NOT is_pull").select("key", F.explode(F.array_distinct("issues")).alias("issue")).distinct()
+    linked = asked.join(pulls, "issue").select("key", "thread", "newest", bits(F.array(F.lit("linked"))))
+    cited = own.unionByName(linked).groupBy("key", "thread").agg(F.max("newest").alias("newest"), F.bit_or("bits").alias("bits"))
+    rows = cited.groupBy("key").agg(F.bit_or("bits").alias("bits"), cites.alias("cites"), F.max("newest").alias("newest"))
+    held = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << k) > 0, s) for k, s in enumerate(stages)]), lambda s: s.isNotNull())
     return rows.select("key", F.get(held, 0).alias("stage"), held.alias("stages"), "cites", "newest").filter("stage IS NOT NULL")
 
 
+def proposal_rows(threads: DataFrame, stages: list[str]) -> DataFrame:
+    """key, stage, stages, cites (sorted threads), newest of proposals that have a stage."""
+    return _proposals(threads, stages, F.array_sort(F.collect_set("thread")))
+
+
+def proposal_counts(threads: DataFrame, stages: list[str]) -> DataFrame:
+    """The same with the number of cited threads in place of their list, which grows with the table."""
+    return _proposals(threads, stages, F.count("thread"))
+
+
 def starter_links(starters: DataFrame, issues: DataFrame, least: int = 1) -> DataFrame:
     """mail, account, proposals of people who start a proposal's thread and stand on issues that name it, under the same name.
 

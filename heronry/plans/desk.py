@@ -207,8 +207,8 @@ def queue_counts(spark, sf_dir):
 def proposal_rows(spark, sf_dir):
     tag = F.when(col("event_type") == "signup", F.array(F.lit("vote"))).when(col("event_type") == "view", F.array(F.lit("discuss"))).otherwise(F.expr("cast(array() AS array<string>)"))
     threads = table(spark, sf_dir, "events").filter("event_id % 5 <> 0").select(col("event_id").alias("thread"), col("ts").alias("newest"), F.array(F.concat(F.lit("P"), col("user_id") % 30)).alias("keys"), F.array(F.concat(F.lit("I"), col("event_id") % 40)).alias("issues"), tag.alias("tags"), (col("event_type") == "click").alias("is_pull"))
-    rows = Q.proposal_rows(threads, ["vote", "discuss", "code", "linked"])
-    return rows.select("key", "stage", F.size("stages").alias("stages"), F.size("cites").alias("cites"), F.unix_micros("newest").alias("newest_us"))
+    rows = Q.proposal_counts(threads, ["vote", "discuss", "code", "linked"])
+    return rows.select("key", "stage", F.size("stages").alias("stages"), col("cites").cast("int").alias("cites"), F.unix_micros("newest").alias("newest_us"))
 
 
 @query(

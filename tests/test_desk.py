@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heronry.operators import activity, contracts, hybrid, queue
+from tests.plan_rows import rows_of_joins
 
 LEXICAL = "group long, project string, lexical_rank int, exact boolean, full boolean"
 SEMANTIC = "group long, project string, semantic_rank int, semantic_score double, chunks array<long>"
@@ -57,3 +58,15 @@ def test_payloads_by_contract(spark):
     told = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<k: string, p: string>").select("i", contracts.payload_issues(F.col("r.k"), F.col("r.p"), {"c": {"n": "number", "s": "string", "b": "boolean"}}).alias("x"))
     got = {r.i: r.x for r in told.collect()}
     assert got == {0: [], 1: ["n must be a number", "s must be a string", "b must be a boolean"], 2: ["payload must be an object"], 3: ["payload must be an object"], 4: ["unknown contract"], 5: ["unknown contract"]}
+
+
+def test_an_issue_that_many_threads_name_meets_its_pulls_once(spark):
+    rows = spark.range(6000).select(F.col("id").alias("thread"), F.col("id").cast("timestamp").alias("newest"), F.array(F.lit("P")).alias("keys"), F.array(F.lit("I"), F.lit("I")).alias("issues"), F.expr("cast(array() AS array<string>)").alias("tags"), (F.col("id") % 2 == 0).alias("is_pull"))
+    rows = rows.union(spark.sql("SELECT 9001L, timestamp '2024-01-01', array('Q', 'Q'), array('I', 'J'), array('vote', 'other', null), false UNION ALL SELECT 9002L, null, array('R'), array('J'), array(), false"))
+    met = []
+    for count in (queue.proposal_counts, queue.proposal_rows):
+        df = count(rows, ["vote", "code", "linked"])
+        got = {r.key: r for r in df.collect()}
+        met.append({k: (r.stage, r.stages, r.cites if isinstance(r.cites, int) else len(r.cites)) for k, r in got.items()})
+    assert met[0] == met[1] == {"P": ("code", ["code", "linked"], 6000), "Q": ("vote", ["vote", "linked"], 3001)}
+    assert max(rows_of_joins(df)) <= 2 * 3000
