@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from heronry.plans.base import both
+from pyspark.sql import functions as F
+
+from heronry.operators import records as R
+from heronry.plans.base import both, query, table
 
 # --- windows -----------------------------------------------------------------------------------------------------------------
 
@@ -19,7 +22,14 @@ both("joi_04_bidirectional", "SELECT nation, count(DISTINCT other) AS neighbours
 both("joi_15_anti_pair", "WITH p AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b FROM {customer} JOIN {supplier} ON c_custkey = s_suppkey) SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM {nation} x JOIN {nation} y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey LEFT JOIN p ON p.a = x.n_nationkey AND p.b = y.n_nationkey WHERE p.a IS NULL", tables="customer supplier nation")
 both("joi_20_left_null", "SELECT c_custkey, n FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey", tables="customer orders")
 both("joi_21_lower_key", "SELECT n_name, r_name FROM {nation} JOIN {region} ON lower(n_name) = lower(concat('Nation_', r_regionkey))", tables="nation region")
-both("joi_24_top_three", "WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y, abs(a.p_retailprice - b.p_retailprice) AS gap FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY gap, y) AS rn FROM p) SELECT x, y, round(gap, 4) AS gap FROM r WHERE rn <= 3", tables="part")
+
+
+@query("joi_24_top_three", "WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y, abs(a.p_retailprice - b.p_retailprice) AS gap FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY gap, y) AS rn FROM p) SELECT x, y, round(gap, 4) AS gap FROM r WHERE rn <= 3")
+def top_three(spark, sf_dir):
+    rows = R.nearest_by_value(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"], "p_retailprice", 3)
+    return rows.select("x", "y", F.round("gap", 4).alias("gap"))
+
+
 
 # --- sets --------------------------------------------------------------------------------------------------------------------
 
