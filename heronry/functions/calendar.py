@@ -101,12 +101,13 @@ def projected(value: Column, share: Column) -> Column:
     return F.when(share > 0, value / share).otherwise(value)
 
 
-def nice_step(top: Column, ticks: int = 3) -> Column:
-    """1, 2 or 5 times a power of ten, that gives at most `ticks` steps up to top."""
+def nice_step(top: Column, ticks: int = 3, largest: float | None = None) -> Column:
+    """1, 2 or 5 times a power of ten, that gives at most `ticks` steps up to top; null where that is above `largest`."""
     raw = F.greatest(F.lit(1.0), top.cast("double")) / ticks
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     steps = F.filter(F.array(*[power * k for k in (1, 2, 5, 10)]), lambda s: s >= raw)
-    return F.greatest(F.lit(1.0), F.coalesce(F.get(steps, 0), power * 10))
+    step = F.greatest(F.lit(1.0), F.coalesce(F.get(steps, 0), power * 10))
+    return step if largest is None else F.when(step <= largest, step)
 
 
 def cost_units(input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> Column:

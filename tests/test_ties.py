@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables of their own: ties, large ids and signs that the given tables seldom hold."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from heronry.operators import records
@@ -35,3 +36,8 @@ def test_nearest_prices_do_not_pair_a_group(spark):
     parts = spark.range(3000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), (F.col("id") % 50).cast("double").alias("p_retailprice"))
     df = records.nearest_by_value(parts, "p_partkey", ["p_brand", "p_type"], "p_retailprice", 3)
     assert len(df.collect()) == 9000 and max(rows_of_joins(df)) <= 3000
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 26, 299_995, 299_996, 299_997, 5_000_000]])
+def test_steps_above_the_largest(spark, tmp_path, ids):
+    assert differs(spark, tmp_path, "mat_13_axis_step", documents=documents(spark, [(i, "x") for i in ids])) is None
