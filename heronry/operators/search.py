@@ -6,6 +6,7 @@ a few rows (the query is an argument), so scoring shuffles only matching posting
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -119,11 +120,21 @@ def facets(scored: DataFrame, project: str, group: str) -> DataFrame:
     return scored.groupBy(project).agg(F.countDistinct(group).alias("groups"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; 0 where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(norm > 0, _dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def projection(a: Column, b: Column) -> Column:
+    """Product of two arrays over the norm of the first: cosine similarity but for the second's norm, so that rounding by it makes and
+    breaks no ties; 0 where the norm is 0."""
+    norm = F.sqrt(_dot(a, a))
+    return F.when(norm > 0, _dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
 def first_vector(vectors: DataFrame) -> list[float]:
@@ -132,9 +143,9 @@ def first_vector(vectors: DataFrame) -> list[float]:
     return [float(x) for x in row.embedding] if row else [0.0]
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, namespace: str | None = None) -> DataFrame:
-    """The k most similar vectors above 0 (per namespace where one is named), ties by id: vec_id, score."""
-    scored = vectors.withColumn("score", cosine(F.col("embedding"), F.array(*map(F.lit, query)))).filter("score > 0")
+def nearest(vectors: DataFrame, query: list[float], k: int, namespace: str | None = None, measure: Callable[[Column, Column], Column] = cosine) -> DataFrame:
+    """The k most similar vectors above 0 (per namespace where one is named), ties by id: vec_id, score (the measure of vector and query)."""
+    scored = vectors.withColumn("score", measure(F.col("embedding"), F.array(*map(F.lit, query)))).filter("score > 0")
     if namespace is None:
         return scored.orderBy(F.desc("score"), "vec_id").limit(k)
     order = Window.partitionBy(namespace).orderBy(F.desc("score"), "vec_id")

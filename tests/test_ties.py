@@ -47,3 +47,8 @@ def test_titles_with_addresses_and_signs(spark, tmp_path):
     titles = ["a.b@c.example Ann bo cy dee", "and Ann bo cy", "Ann and and and", "ann bo; cy dee", "(ann bo) cy dee", "ann > bo cy dee", "ann bo cy d@e", "ann bo cy dee", "ann bo c,y dee"]
     rows = [(i, "u", f"<html><body><p>x</p><article><h1>{t}</h1><p>y</p></article></body></html>") for i, t in enumerate(titles)]
     assert differs(spark, tmp_path, "src_16_page_header", pages=spark.createDataFrame(rows, "page_id long, url string, html string")) is None
+
+
+def test_equal_scores_of_texts_of_other_lengths(spark, tmp_path):
+    rows = [(0, "that " * 5), *[(i, "that") for i in range(1, 30)], (30, "of " * 7), (31, "x")]
+    assert differs(spark, tmp_path, "sch_09_embedded", documents=documents(spark, rows)) is None
