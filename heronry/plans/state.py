@@ -12,7 +12,7 @@ from heronry.streaming import progress as P
 from heronry.streaming import publication as B
 from heronry.streaming import tables as G
 
-#: Partitions of the state of these queries: some hundred keys.
+#: Least partitions of the state of these queries; as many as the session runs tasks at once where keys grow with the tables.
 STATE_PARTITIONS = 4
 
 
@@ -59,7 +59,7 @@ def progress(spark, sf_dir):
     attempts = events.join(known, "user_id", "left_semi").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.unix_micros("ts").alias("at_us"), F.col("event_id").alias("number"), outcome.alias("outcome"), F.col("event_id").cast("string").alias("mark"))
     cuts = ["2024-01-01", "2024-01-10", "2024-01-20", "2025-01-01"]
     parts = [attempts.filter((F.col("at") >= a) & (F.col("at") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    P.track(_files(spark, base, [*parts, parts[0]]), f"{base}/out", f"{base}/checkpoint", "400 days", STATE_PARTITIONS)
+    P.track(_files(spark, base, [*parts, parts[0]]), f"{base}/out", f"{base}/checkpoint", "400 days", max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism))
     last = P.changes(spark, f"{base}/out", P.PROGRESS).filter("NOT due").groupBy("key").agg(F.max_by(F.struct("status", "mark", "failures", "attempts", "absent_us", "retry_ms"), "attempts").alias("s"))
     return last.select("key", "s.*")
 

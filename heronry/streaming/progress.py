@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,37 @@ HOUR_MS = 3_600_000
 PROGRESS = "key long, status string, mark string, failures int, attempts long, absent_us long, retry_ms long, due boolean"
 
 
+def followed(state: tuple, rows: pd.DataFrame) -> tuple:
+    """The state (see Progress) after one key's rows of a batch, in the order of (at, number); those at or before the last one are known.
+
+    Only what comes after the last success or removal counts, so the rows are read as columns and never one by one.
+    """
+    _, mark, failures, attempts, absent, _, last_at, last_number = state
+    at, number = rows.at_us.to_numpy("int64"), rows.number.to_numpy("int64")
+    order = np.lexsort((number, at))
+    at, number = at[order], number[order]
+    fresh = (at > last_at) | ((at == last_at) & (number > last_number))
+    fresh[1:] &= (at[1:] != at[:-1]) | (number[1:] != number[:-1])
+    if not fresh.any():
+        return state
+    at, number, order = at[fresh], number[fresh], order[fresh]
+    outcome = rows.outcome.to_numpy(object)[order]
+    failed, missed = outcome == "failed", outcome == "absent"
+    ends = np.flatnonzero(~(failed | missed))
+    after = 0
+    if len(ends):
+        after, failures, absent = ends[-1] + 1, 0, None
+        mark = rows.mark.iloc[order[ends[-1]]] if outcome[ends[-1]] == "done" else None
+    misses = np.flatnonzero(missed[after:])
+    if absent is None and len(misses):
+        absent = int(at[after + misses[0]])
+    failures += int(failed[after:].sum())
+    status = outcome[-1] if outcome[-1] in ("done", "failed", "absent") else "forgotten"
+    # Beyond ten doublings the pause is the longest.
+    retry = int(at[-1]) // 1000 + min(FIRST_PAUSE * 2 ** min(failures - 1, 10), LONGEST_PAUSE) * HOUR_MS if status == "failed" else None
+    return (status, mark, failures, attempts + len(at), absent, retry, int(at[-1]), int(number[-1]))
+
+
 class Progress(StatefulProcessor):
     """Per key: the last outcome (done, failed, absent or forgotten), the mark of what was done, failures in a row, attempts (each call
     counts, whatever its outcome), since when it is absent, and when it may be tried again. A row tells `due` when that time has come."""
@@ -31,32 +63,19 @@ class Progress(StatefulProcessor):
 
     def _row(self, key, state, due: bool) -> pd.DataFrame:
         status, mark, failures, attempts, absent, retry, _, _ = state
-        return pd.DataFrame([(key[0], status, mark, failures, attempts, absent, retry, due)], columns=["key", "status", "mark", "failures", "attempts", "absent_us", "retry_ms", "due"]).astype({"absent_us": "Int64", "retry_ms": "Int64"})
+        whole = lambda x: pd.array([x], dtype="Int64")
+        return pd.DataFrame({"key": [key[0]], "status": [status], "mark": [mark], "failures": [failures], "attempts": [attempts], "absent_us": whole(absent), "retry_ms": whole(retry), "due": [due]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else ("new", None, 0, 0, None, None, -1, -1)
-        before = tuple(state)
-        fresh = pd.concat(list(rows)).sort_values(["at_us", "number"])
-        for at, number, outcome, mark in zip(fresh.at_us.astype(int), fresh.number.astype(int), fresh.outcome, fresh.mark, strict=True):
-            status, kept, failures, attempts, absent, retry, last_at, last_number = state
-            if (at, number) <= (last_at, last_number):
-                continue
-            if outcome == "done":
-                state = ("done", mark, 0, attempts + 1, None, None, at, number)
-            elif outcome == "failed":
-                pause = min(FIRST_PAUSE * 2**failures, LONGEST_PAUSE)
-                state = ("failed", kept, failures + 1, attempts + 1, absent, int(at) // 1000 + pause * HOUR_MS, at, number)
-            elif outcome == "absent":
-                state = ("absent", kept, failures, attempts + 1, at if absent is None else absent, None, at, number)
-            else:
-                state = ("forgotten", None, 0, attempts + 1, None, None, at, number)
-        if tuple(state) == before:
+        before = self.state.get() or ("new", None, 0, 0, None, None, -1, -1)
+        state = followed(tuple(before), pd.concat(list(rows)))
+        if state == tuple(before):
             return
         if before[5] is not None:
             self.handle.deleteTimer(before[5])
         if state[5] is not None:
             self.handle.registerTimer(state[5])
-        self.state.update(tuple(state))
+        self.state.update(state)
         yield self._row(key, state, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

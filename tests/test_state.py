@@ -1,7 +1,9 @@
 """Polls by cursor, keyed state with timers, the latched breaker and hooks, on small streams."""
 
+import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,37 @@ def test_a_batch_that_was_not_published_runs_again(spark, monkeypatch):
     assert sorted(map(tuple, publication.published(spark, base).collect())) == [(0, 2), (1, 1)]
     run()
     assert calls == ["r0", "r1", "r1"] and sorted(map(tuple, publication.published(spark, base).collect())) == [(0, 3), (1, 3)]
+
+
+def one_by_one(state, rows):
+    """The rule of Progress, a row at a time."""
+    for at, number, outcome, mark in sorted(rows, key=lambda r: r[:2]):
+        _, kept, failures, attempts, absent, _, *last = state
+        if (at, number) > tuple(last):
+            if outcome in ("done", "forgotten"):
+                state = (outcome, mark if outcome == "done" else None, 0, attempts + 1, None, None, at, number)
+            elif outcome == "absent":
+                state = ("absent", kept, failures, attempts + 1, at if absent is None else absent, None, at, number)
+            else:
+                state = ("failed", kept, failures + 1, attempts + 1, absent, at // 1000 + min(24 * 2**failures, 720) * progress.HOUR_MS, at, number)
+    return state
+
+
+def test_rows_of_a_batch_give_what_they_give_one_by_one():
+    draw = random.Random(3)
+    for _ in range(300):
+        rows = [(draw.randrange(8), draw.randrange(3), draw.choice(["failed", "failed", "absent", "absent", "done", "forgotten"]), draw.choice(["a", "b", None])) for _ in range(draw.randrange(1, 16))]
+        frame = lambda x: pd.DataFrame(x, columns=["at_us", "number", "outcome", "mark"])
+        whole = single = ("new", None, 0, 0, None, None, -1, -1)
+        for half in (rows[:7], rows[7:]):
+            if half:
+                whole = progress.followed(whole, frame(half))
+                single = one_by_one(single, half)
+        assert whole == single
+
+
+def test_many_rows_of_one_key_take_no_loop():
+    rows = pd.DataFrame({"at_us": range(500_000), "number": 0, "outcome": "failed", "mark": None})
+    began = time.time()
+    state = progress.followed(("done", "m", 0, 1, None, None, -1, -1), rows)
+    assert state == ("failed", "m", 500_000, 500_001, None, 499 + 720 * progress.HOUR_MS, 499_999, 0) and time.time() - began < 5
